@@ -22,8 +22,9 @@ INSERT_HEAD = (
 )
 # One row in parentheses, and one field of it. Possessive, so a long line is
 # walked once and without recursion.
-TUPLE = r"(?s)\((?:[^'()]++|'(?:[^'\\]++|\\.|'')*+')*+\)"
-FIELD = r"(?s)(?:_binary\s+)?'(?:[^'\\]++|\\.|'')*+'|[^',()]++"
+TUPLE = r"(?s)\([^'()]*+(?:'[^'\\]*+(?:\\.[^'\\]*+)*+'[^'()]*+)*+\)"
+FIELD = r"(?s)[^',()\s]++|'(?:[^'\\]++|\\.|'')*+'"
+BINARY_FIELD = r"(?s)(?:_binary\s+)?'(?:[^'\\]++|\\.|'')*+'|[^',()\s]++"
 # A row that continues a statement begun on an earlier line.
 TUPLE_LINE = r"(?i)^\s*\((?!\s*PARTITION\b)"
 # Lines that carry no rows: comments, DDL and session statements.
@@ -107,33 +108,29 @@ def _lists_all(columns: Column, schema: T.StructType) -> Column:
     return (columns == "") | (F.lower(plain) == listed.lower())
 
 
-def _fields(text: Column) -> Column:
-    """The raw tokens between a row's parentheses."""
-    inner = F.substring(text, F.lit(2), F.char_length(text) - 2)
-    tokens = F.transform(F.regexp_extract_all(inner, F.lit(FIELD), F.lit(0)), lambda f: F.trim(f))
-    # a row without quotes is cut at every comma
-    return F.when(F.contains(text, F.lit("'")), tokens).otherwise(F.split(inner, r",\s*"))
+def _fields(text: Column, schema: T.StructType) -> Column:
+    """The raw tokens of a row in parentheses."""
+    binary = any(isinstance(f.dataType, T.BinaryType) for f in schema.fields)
+    return F.regexp_extract_all(text, F.lit(BINARY_FIELD if binary else FIELD), F.lit(0))
 
 
 def _cut(lines: DataFrame, schema: T.StructType, table: str | None) -> DataFrame:
-    """Each line's rows as token arrays, and what is wrong with the line, if anything.
+    """Each line's rows, and what is wrong with the line, if anything.
 
-    A line is sound when its rows and separators account for every character,
-    and each row has as many fields as the table has columns.
+    A line is sound when its rows and the separators between them account for
+    every character.
     """
     rows = _kinds(lines, table).withColumn("_rows", F.regexp_extract_all("_body", F.lit(TUPLE), F.lit(0)))
     whole = F.concat(F.array_join("_rows", ","), F.lit(";")) == F.col("_body")
     rest = F.regexp_replace("_body", TUPLE, "").rlike(r"^[\s,]*;?\s*$")
-    width = len(schema.fields)
     problem = (
         F.when(F.col("_kind") == "unknown", PROBLEM_LINE)
         .when(~whole & ~rest, PROBLEM_TUPLES)
         .when(~_lists_all(F.col("_columns"), schema), PROBLEM_COLUMNS)
-        .when(F.exists("_tokens", lambda f: F.size(f) != width), PROBLEM_FIELDS)
     )
     if table is not None:
         problem = F.when(F.col("_kind") == "tuple", PROBLEM_LINE).otherwise(problem)
-    return rows.withColumn("_tokens", F.transform("_rows", _fields)).withColumn("_problem", problem)
+    return rows.withColumn("_problem", problem)
 
 
 def _fail(problem: Column, text: Column) -> Column:
@@ -144,19 +141,26 @@ def _fail(problem: Column, text: Column) -> Column:
 def parse_lines(lines: DataFrame, schema: T.StructType, table: str | None = None) -> DataFrame:
     """Typed rows; the job fails at the first line, row or value not understood.
 
-    Tokens are cut inside the generator, so no later filter or projection can
-    repeat the cutting, and lines and field counts are checked even when only
-    some columns are read.
+    Rows and their tokens are each cut inside a generator, so no later filter or
+    projection can repeat the cutting, and lines and field counts are checked
+    even when only some columns are read.
 
     ``table`` picks one table out of a dump that holds several; a row whose
     statement began on an earlier line then cannot be told apart and fails.
     Works on a stream as on a batch.
     """
-    cut = _cut(lines, schema, table)
-    sound = F.when(F.col("_problem").isNull(), F.col("_tokens")).otherwise(
-        _fail(F.col("_problem"), F.col("value")).cast("array<array<string>>")
+    width = len(schema.fields)
+
+    def full(fields: Column) -> Column:
+        wrong = _fail(F.lit(PROBLEM_FIELDS), F.array_join(fields, ","))
+        return F.when(F.size(fields) == width, fields).otherwise(wrong.cast("array<string>"))
+
+    sound = F.when(F.col("_problem").isNull(), F.col("_rows")).otherwise(
+        _fail(F.col("_problem"), F.col("value")).cast("array<string>")
     )
-    rows = cut.select("_file", F.explode(sound).alias("_fields"))
+    texts = _cut(lines, schema, table).select("_file", F.explode(sound).alias("_text"))
+    tokens = F.transform(F.array(_fields(F.col("_text"), schema)), full)
+    rows = texts.select("_file", F.explode(tokens).alias("_fields"))
     columns = []
     for i, field in enumerate(schema.fields):
         raw = F.get(F.col("_fields"), i)
@@ -174,15 +178,16 @@ def find_problems(lines: DataFrame, schema: T.StructType, table: str | None = No
     bad_lines = cut.where(F.col("_problem").isNotNull()).select(
         F.col("_file").alias("file"), F.col("_problem").alias("problem"), F.col("value").alias("text")
     )
-    good = F.when(F.col("_problem").isNull(), F.col("_tokens"))
-    rows = cut.select("_file", F.explode(good).alias("_fields"))
-    problem = F.lit(None).cast("string")
+    good = F.when(F.col("_problem").isNull(), F.col("_rows"))
+    texts = cut.select("_file", F.explode(good).alias("_text"))
+    rows = texts.select("_file", "_text", F.explode(F.array(_fields(F.col("_text"), schema))).alias("_fields"))
+    problem = F.when(F.size("_fields") != len(schema.fields), PROBLEM_FIELDS)
     for i, field in enumerate(schema.fields):
         raw = F.get(F.col("_fields"), i)
         lost = value_of(raw, field.dataType).isNull() & (F.upper(raw) != "NULL")
         problem = F.coalesce(problem, F.when(lost, f"{PROBLEM_VALUE} {field.name}"))
     bad_values = rows.select(
-        F.col("_file").alias("file"), problem.alias("problem"), F.array_join("_fields", ",").alias("text")
+        F.col("_file").alias("file"), problem.alias("problem"), F.col("_text").alias("text")
     ).where(F.col("problem").isNotNull())
     return bad_lines.unionAll(bad_values)
 
