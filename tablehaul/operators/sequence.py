@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablehaul.session import shared_dir
 
@@ -52,7 +53,7 @@ class RunningTotal:
     def __init__(self, value: str, out: str):
         self.value, self.out = value, out
         self.inputs = [value]
-        self.fields = [(out, "bigint")]
+        self.fields = [(out, T.LongType())]
 
     def fresh(self):
         return 0
@@ -87,7 +88,7 @@ class SmoothedRate:
     def __init__(self, time: str = "t_s", size: str = "bytes_current"):
         self.time, self.size = time, size
         self.inputs = [time, size]
-        self.fields = [("inst_rate", "double"), ("rate", "double"), ("elapsed_s", "double")]
+        self.fields = [(n, T.DoubleType()) for n in ("inst_rate", "rate", "elapsed_s")]
 
     def fresh(self):
         return None
@@ -230,9 +231,7 @@ def _entry_states(summaries: list, kernel) -> dict[int, tuple]:
 def scan(chunked: DataFrame, series: list[str], kernel) -> DataFrame:
     """``chunked`` plus the kernel's columns. Narrow: rows stay in their chunks."""
     entries = _entry_states(_summaries(chunked, series, kernel), kernel)
-    schema = chunked.schema
-    for name, kind in kernel.fields:
-        schema = schema.add(name, kind)
+    schema = T.StructType([*chunked.schema.fields, *[T.StructField(n, t) for n, t in kernel.fields]])
 
     def produce(batches):
         key, state = None, None
