@@ -29,7 +29,7 @@ def read_ledger(spark: SparkSession, ledger: str) -> DataFrame:
 def match_keys(entries: DataFrame) -> DataFrame:
     """Lower-cased names to match against: each entry and its last path segment."""
     entry = F.lower("entry")
-    return entries.select(F.explode(F.array_distinct(F.array(entry, base_name(entry)))).alias("_key")).distinct()
+    return entries.select(F.explode(F.array_distinct(F.array(entry, base_name(entry)))).alias("_key"))
 
 
 def _with_key(tasks: DataFrame) -> DataFrame:
@@ -40,9 +40,10 @@ def pending(tasks: DataFrame, entries: DataFrame) -> DataFrame:
     """Tasks not yet finished, matched by name in any case.
 
     The keys hold the last segment of every entry, so an entry that names a
-    task's whole path also names the task: one join on the name does. The key
-    side is distinct, so a name shared by many tasks is split by adaptive
-    execution; it is broadcast only when its measured size allows.
+    task's whole path also names the task: one join on the name does. Repeated
+    keys do not matter to this join, so they are left as they are: adaptive
+    execution can then split the tasks that share a very common name, which it
+    cannot when an aggregate stands between the shuffle and the join.
     """
     return _with_key(tasks).join(match_keys(entries), "_key", "left_anti").drop("_key")
 
@@ -56,34 +57,40 @@ def pending_exact(tasks: DataFrame, ledger: DataFrame) -> DataFrame:
     return tasks.join(ledger.select("database", "relative_path"), ["database", "relative_path"], "left_anti")
 
 
-def marked(tasks: DataFrame, entries: DataFrame) -> DataFrame:
-    """Tasks with ``done``, for reports that need both sides of the split in one pass."""
-    keys = match_keys(entries).withColumn("_hit", F.lit(True))
-    return _with_key(tasks).join(keys, "_key", "left").withColumn("done", F.col("_hit").isNotNull()).drop("_key", "_hit")
+def _split_totals(tasks: DataFrame, entries: DataFrame, *groups: str) -> DataFrame:
+    """Files and bytes per group and whether they are done.
 
+    Tasks are summed by name before they meet the list, so a name that very many
+    tasks share is one row per group by then.
+    """
+    by_name = _with_key(tasks).groupBy(*groups, "_key").agg(
+        F.count("*").alias("files"), F.sum("size_bytes").alias("size_bytes")
+    )
+    keys = match_keys(entries).distinct().withColumn("_hit", F.lit(True))
+    return by_name.join(keys, "_key", "left").withColumn("done", F.col("_hit").isNotNull())
 
-def skipped_totals(tasks: DataFrame, entries: DataFrame) -> DataFrame:
-    done = F.col("done")
-    zero = F.lit(0).cast("bigint")
 
-    def size(which: Column) -> Column:
-        return F.coalesce(F.sum(F.when(which, F.col("size_bytes"))), zero)
+def _sum_where(which: Column, name: str) -> Column:
+    return F.coalesce(F.sum(F.when(which, F.col(name))), F.lit(0).cast("bigint"))
 
-    return marked(tasks, entries).agg(
-        F.count_if(done).alias("skipped_files"),
-        size(done).alias("skipped_bytes"),
-        F.count_if(~done).alias("remaining_files"),
-        size(~done).alias("remaining_bytes"),
+
+def skipped_totals(tasks: DataFrame, entries: DataFrame) -> DataFrame:
+    done = F.col("done")
+    return _split_totals(tasks, entries).agg(
+        _sum_where(done, "files").alias("skipped_files"),
+        _sum_where(done, "size_bytes").alias("skipped_bytes"),
+        _sum_where(~done, "files").alias("remaining_files"),
+        _sum_where(~done, "size_bytes").alias("remaining_bytes"),
     )
 
 
 def database_breakdown(tasks: DataFrame, entries: DataFrame) -> DataFrame:
-    """Per database what remains, and how many were skipped if any; one aggregate."""
+    """Per database what remains, and how many were skipped, if any."""
     left = ~F.col("done")
-    counted = marked(tasks, entries).groupBy("database").agg(
-        F.count_if(left).alias("files"),
-        F.sum(F.when(left, F.col("size_bytes"))).alias("size_bytes"),
-        F.count_if(F.col("done")).alias("_skipped"),
+    counted = _split_totals(tasks, entries, "database").groupBy("database").agg(
+        _sum_where(left, "files").alias("files"),
+        _sum_where(left, "size_bytes").alias("size_bytes"),
+        _sum_where(F.col("done"), "files").alias("_skipped"),
     )
     skipped = F.when(F.col("_skipped") > 0, F.col("_skipped"))
     return counted.where("files > 0").select("database", "files", "size_bytes", skipped.alias("skipped"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tablehaul.functions.text import IMPORT_SILENT, error_snippet, format_bytes_compact, format_duration
 from tablehaul.operators import runs, sequence
+from tablehaul.operators.joins import salted_join
 from tablehaul.queries import views
 from tablehaul.queries.inventory import bytes_sql, fixed_sql, scaled_sql
 from tablehaul.queries.views import oracle
@@ -97,7 +98,8 @@ def _phased(spark: SparkSession, sf_dir: str) -> DataFrame:
     rated = _rates(spark, sf_dir)
     totals = rated.groupBy("worker").agg(F.max("bytes_current").alias("_most"))
     part = F.call_function("div", F.col("_most") * 3, F.lit(4).cast("bigint"))
-    return runs.task_phase(rated.join(totals.select("worker", part.alias("total_bytes")), "worker"))
+    sizes = totals.select("worker", part.alias("total_bytes"))
+    return runs.task_phase(salted_join(rated, sizes, ["worker"], F.col("event_id")))
 
 
 def task_phase(spark: SparkSession, sf_dir: str) -> DataFrame:

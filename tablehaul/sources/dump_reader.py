@@ -36,7 +36,12 @@ OTHER_LINE = (
     r"(?:int|integer|text|blob|char|binary|float|double|decimal|numeric|date|datetime|timestamp|time|year|json|enum|set|bit|bool|boolean)\b)"
 )
 
+# Lines of a file's head searched for its DDL; the second try allows for the
+# widest table a server takes.
+HEAD_LINES = (200, 5000)
+
 PROBLEM_LINE = "unrecognised line"
+PROBLEM_BYTES = "not UTF-8 text"
 PROBLEM_TUPLES = "text between the rows was not understood"
 PROBLEM_COLUMNS = "column list differs from the table"
 PROBLEM_FIELDS = "number of fields differs from the table"
@@ -48,21 +53,21 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"))
 
 
-def read_schema(spark: SparkSession, path: str, max_lines: int = 5000) -> tuple[str, T.StructType]:
+def read_schema(spark: SparkSession, path: str) -> tuple[str, T.StructType]:
     """Table name and schema from the ``CREATE TABLE`` of a dump.
 
     A folder written by this package keeps its DDL in the first part; a single
     file keeps it ahead of its rows. Either way only the head of one file is
     pulled, with row statements cut down to a marker, so the driver sees DDL only.
     """
-    parts = [r.path for r in _first_files(spark, path)]
-    for part in parts:
-        lines = spark.read.text(part).where(F.col("_metadata.file_block_start") == 0)
+    for first in _first_files(spark, path):
+        lines = spark.read.text(first.path).where(F.col("_metadata.file_block_start") == 0)
         short = F.when(F.col("value").rlike(INSERT_HEAD), "INSERT").otherwise(F.col("value"))
-        head = [r.value for r in lines.select(short.alias("value")).limit(max_lines).collect()]
-        text = _create_text(head)
-        if text:
-            return parse_create_table(text)
+        for lines_read in HEAD_LINES:
+            head = [r.value for r in lines.select(short.alias("value")).limit(lines_read).collect()]
+            text = _create_text(head)
+            if text:
+                return parse_create_table(text)
     raise ValueError(f"no CREATE TABLE in {path}")
 
 
@@ -124,7 +129,8 @@ def _cut(lines: DataFrame, schema: T.StructType, table: str | None) -> DataFrame
     whole = F.concat(F.array_join("_rows", ","), F.lit(";")) == F.col("_body")
     rest = F.regexp_replace("_body", TUPLE, "").rlike(r"^[\s,]*;?\s*$")
     problem = (
-        F.when(F.col("_kind") == "unknown", PROBLEM_LINE)
+        F.when(~F.is_valid_utf8("value"), PROBLEM_BYTES)
+        .when(F.col("_kind") == "unknown", PROBLEM_LINE)
         .when(~whole & ~rest, PROBLEM_TUPLES)
         .when(~_lists_all(F.col("_columns"), schema), PROBLEM_COLUMNS)
     )

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablehaul.sources.files import open_stream
+
 _OBJECT = "last_updated string, completed_files array<string>, completed_tables array<string>, _bad string"
 
 
@@ -88,10 +91,24 @@ def candidates(log_dir: str, source_dir: str, explicit: str | None = None) -> li
 
 
 def _content(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.text(path, wholetext=True).select(F.col("value").alias("content"))
-    except AnalysisException:
-        return None
+    """A document's text, or None where there is no such file."""
+    if not path.rsplit("/", 1)[-1].startswith("."):
+        try:
+            return spark.read.text(path, wholetext=True).select(F.col("value").alias("content"))
+        except AnalysisException:
+            return None
+
+    # Spark's readers pass over hidden names, so a task opens the file itself
+    def read(batches):
+        for _ in batches:
+            try:
+                with open_stream(path) as stream:
+                    content = [stream.read().decode("utf-8")]
+            except FileNotFoundError:
+                content = []
+            yield pa.RecordBatch.from_arrays([pa.array(content, pa.string())], ["content"])
+
+    return spark.range(0, 1, 1, 1).mapInArrow(read, "content string")
 
 
 def discover(

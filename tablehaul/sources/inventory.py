@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablehaul.functions.names import DUMP_FILE, base_name
+from tablehaul.sources.files import open_stream
 
 # Folder levels searched, header lines read.
 FOLDER_DEPTH = 2
@@ -25,7 +26,8 @@ def list_dumps(spark: SparkSession, folder: str, depth: int = FOLDER_DEPTH) -> D
 
     An item is a file ``*.sql`` / ``*.sql.gz``, or a folder so named that holds
     the parts of one table. Only the listing is read, never file content. Names
-    starting with ``_`` or ``.`` are hidden, as everywhere in Spark.
+    starting with ``_`` or ``.`` are hidden and empty files are passed over, as
+    everywhere in Spark.
     """
     root = _root(folder)
     files = (
@@ -121,16 +123,8 @@ def header_lines(items: DataFrame, max_lines: int = HEADER_LINES) -> DataFrame:
 
 
 def _head(uri: str, max_lines: int) -> list[str]:
-    from pyarrow import fs
-
-    uri = uri.replace("s3a://", "s3://", 1)
-    if uri.startswith("file:"):
-        system, path = fs.LocalFileSystem(), "/" + uri[len("file:") :].lstrip("/")
-    else:
-        system, path = fs.FileSystem.from_uri(uri)
     lines: list[str] = []
-    codec = "gzip" if uri.lower().endswith(".gz") else None
-    with system.open_input_stream(path, compression=codec) as stream:
+    with open_stream(uri) as stream:
         pending = b""
         while len(lines) < max_lines:
             block = stream.read(16384)
