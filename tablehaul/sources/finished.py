@@ -74,7 +74,8 @@ def first_with_entries(parsed: DataFrame, *keys: str) -> DataFrame:
     """Per key, the candidate of lowest ``priority`` that lists anything."""
     filled = parsed.where(F.size("entries") > 0)
     chosen = filled.groupBy(*keys).agg(F.min(F.struct("priority", "path", "form", "entries")).alias("c"))
-    return chosen.select(*keys, "c.path", "c.form", "c.entries")
+    # without keys the aggregate has a row even when there is no candidate
+    return chosen.where(F.col("c").isNotNull()).select(*keys, "c.path", "c.form", "c.entries")
 
 
 def candidates(log_dir: str, source_dir: str, explicit: str | None = None) -> list[str]:

@@ -101,7 +101,7 @@ def test_finished_lists(spark, work):
     assert _found(spark, work) == ("/dumps/logs/manifest.json", "object", ["t1.sql", "t2"])
     _write(work + "/logs/manifest.json", "{}")
     assert _found(spark, work)[0] == "/dumps/logs/manifest.json"
-    _write(work + "/logs/manifest.json", '{"completed_files": [\n  "x.sql",\n  "y.SQL",\n "z.sql.gz", nonsense')
+    _write(work + "/logs/manifest.json", '{"completed_files": [\n  "x.sql",\n  "y.SQL",\n "z.sql.gz",\n nonsense')
     assert _found(spark, work) == ("/logs/manifest.json", "lines", ["x.sql", "y.SQL", "z.sql.gz"])
     assert _found(spark, work, strict_lines=True)[2] == ["x.sql", "y.SQL"]
     _write(work + "/logs/manifest.json", "damaged")
