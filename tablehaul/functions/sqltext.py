@@ -19,18 +19,23 @@ ESCAPES = [
     ("\x1a", "\\Z"),
 ]
 
-# Escapes understood on the way back, besides the doubled backslash.
-UNESCAPES = [
+# Escapes understood on the way back, besides the doubled
+# backslash, the NUL escape and the two that keep their backslash.
+COMMON_UNESCAPES = [
     ("''", "'"),
     ("\\'", "'"),
     ('\\"', '"'),
     ("\\n", "\n"),
+]
+RARE_UNESCAPES = [
     ("\\r", "\r"),
     ("\\t", "\t"),
     ("\\b", "\b"),
-    ("\\0", "\0"),
     ("\\Z", "\x1a"),
 ]
+# A backslash that starts no common escape (or is the second of two).
+RARE = r"""\\[^\\n'"]"""
+KEPT = ["\\%", "\\_"]
 
 # Nested values travel as JSON; these options keep nulls, microseconds and
 # non-finite numbers.
@@ -76,27 +81,58 @@ def quoted(column: Column) -> Column:
 def unescape(column: Column) -> Column:
     """Undo backslash escapes and doubled quotes of a literal's inside.
 
-    Cutting at each double backslash leaves pieces in which every backslash
-    starts an escape of its own, so the pieces need no order-aware scan. In a
-    run of quotes only the first can belong to a backslash, so folding pairs
-    first is safe.
+    Dump text holds no NUL (it is written as an escape), so NUL marks can stand
+    in for what must survive until the end: doubled backslashes first, after
+    which every backslash starts an escape of its own. Any escape not listed
+    stands for its character. In a run of quotes only the first can belong to a
+    backslash, so folding pairs first is safe.
+
+    The chain runs inside a lambda, which is evaluated apart: written out for
+    every text column it would make the generated method too long to be
+    compiled, and most values have no backslash.
     """
+    mark, mark_back = ("\\\\", "\0B"), ("\0B", "\\")
+    common = [mark, *COMMON_UNESCAPES, mark_back]
+    every = [
+        mark,
+        *COMMON_UNESCAPES,
+        *RARE_UNESCAPES,
+        ("\\0", "\0" + "0"),
+        *[(kept, f"\0{kept[1]}") for kept in KEPT],
+        ("\\", ""),
+        *[(f"\0{kept[1]}", kept) for kept in KEPT],
+        mark_back,
+        ("\0" + "0", "\0"),
+    ]
+
+    def undo(text: Column) -> Column:
+        with_all, with_common = (
+            reduce(lambda c, e: F.replace(c, F.lit(e[0]), F.lit(e[1])), steps, text) for steps in (every, common)
+        )
+        return F.when(text.rlike(RARE), with_all).otherwise(with_common)
+
+    whole = F.get(F.transform(F.array(column), undo), 0)
+    return F.when(F.contains(column, F.lit("\\")), whole).otherwise(F.replace(column, F.lit("''"), F.lit("'")))
 
-    def piece(p: Column) -> Column:
-        known = reduce(lambda c, e: F.replace(c, F.lit(e[0]), F.lit(e[1])), UNESCAPES, p)
-        # any other escaped character stands for itself, except \% and \_
-        return F.regexp_replace(known, r"(?s)\\([^%_])", "$1")
 
-    pieces = F.transform(F.split(column, r"\\\\"), piece)
-    return F.when(
-        F.contains(column, F.lit("\\")), F.array_join(pieces, "\\")
-    ).otherwise(F.replace(column, F.lit("''"), F.lit("'")))
+def is_null_token(raw: Column) -> Column:
+    """The bare word NULL; the length test spares most tokens the upper-casing."""
+    return (F.octet_length(raw) == 4) & (F.upper(raw) == "NULL")
+
+
+def _inside(raw: Column) -> Column:
+    return F.substring(raw, F.lit(2), F.char_length(raw) - 2)
 
 
 def unquoted(raw: Column) -> Column:
-    """The text of a token: a quoted one is unescaped, a bare one stays."""
-    inside = F.substring(raw, F.lit(2), F.char_length(raw) - 2)
-    return F.when(F.startswith(raw, F.lit("'")), unescape(inside)).otherwise(raw)
+    """The text of a token: a quoted one is unescaped, a bare number stays, a bare word is null."""
+    number = F.when(raw.rlike(r"^[-+.0-9]"), raw)
+    return F.when(F.startswith(raw, F.lit("'")), unescape(_inside(raw))).otherwise(number)
+
+
+def _bare(raw: Column) -> Column:
+    """The text of a token that can hold no escapes, such as a number or a date."""
+    return F.when(F.startswith(raw, F.lit("'")), _inside(raw)).otherwise(raw)
 
 
 def _utc_text(column: Column) -> Column:
@@ -142,13 +178,13 @@ def value_of(raw: Column, dtype: T.DataType, strict: bool = False) -> Column:
     """
     kind = dtype.simpleString()
     if isinstance(dtype, T.BooleanType):
-        value = unquoted(raw).try_cast("bigint") != 0
+        value = _bare(raw).try_cast("bigint") != 0
     elif isinstance(dtype, T.NumericType):
-        value = unquoted(raw).try_cast(kind)
+        value = _bare(raw).try_cast(kind)
     elif isinstance(dtype, (T.DateType, T.TimestampNTZType, T.TimeType)):
-        value = unquoted(raw).try_cast(kind)
+        value = _bare(raw).try_cast(kind)
     elif isinstance(dtype, T.TimestampType):
-        value = F.concat(unquoted(raw), F.lit("+00:00")).try_cast(kind)
+        value = F.concat(_bare(raw), F.lit("+00:00")).try_cast(kind)
     elif isinstance(dtype, T.BinaryType):
         hexed = F.unhex(F.substring(raw, F.lit(3), F.char_length(raw)))
         text = F.regexp_replace(raw, r"(?i)^_binary\s+", "")
@@ -159,4 +195,4 @@ def value_of(raw: Column, dtype: T.DataType, strict: bool = False) -> Column:
         value = F.from_json(unquoted(raw), dtype, {**JSON_OPTIONS, "mode": "FAILFAST" if strict else "PERMISSIVE"})
     else:
         value = unquoted(raw)
-    return F.when(F.upper(raw) == "NULL", F.lit(None)).otherwise(value)
+    return F.when(is_null_token(raw), F.lit(None)).otherwise(value)

@@ -197,6 +197,13 @@ def test_small_statement_on_one_line(spark, work):
     assert sorted(r.id for r in read_dump(spark, work + "/t.sql").collect()) == [1, 2]
 
 
+def test_spaces_around_values(spark, work):
+    with open(work + "/t.sql", "w") as f:
+        f.write("CREATE TABLE t (i INT, s TEXT, n INT);\nINSERT INTO t VALUES ( 1 , 'a, b' , NULL ),(2,'c', 5),(3 ,'',6),(4,7,NULL);\n")
+    got = sorted(map(tuple, read_dump(spark, work + "/t.sql").collect()))
+    assert got == [(1, "a, b", None), (2, "c", 5), (3, "", 6), (4, "7", None)]
+
+
 def test_one_table_of_several(spark, work):
     with open(work + "/t.sql", "w") as f:
         f.write("CREATE TABLE `a` (`x` int);\nINSERT INTO `a` VALUES (1),(2);\nINSERT INTO `b` VALUES ('q',3);\n")
@@ -215,6 +222,10 @@ def test_one_table_of_several(spark, work):
         ("INSERT INTO `t` VALUES (1,'a',3);", "number of fields"),
         ("INSERT INTO `t` VALUES (1);", "number of fields"),
         ("INSERT INTO `t` (`s`,`i`) VALUES ('a',1);", "column list"),
+        ("INSERT INTO `t` VALUES (1,);", "number of fields"),
+        ("INSERT INTO `t` VALUES ('1,a');", "number of fields"),
+        ("INSERT INTO `t` VALUES (',');", "number of fields"),
+        ("INSERT INTO `t` VALUES (1,a);", "a value does not fit column s"),
         ("INSERT INTO `t` VALUES (abc,'a');", "a value does not fit column i"),
         ("INSERT INTO `t` VALUES (99999999999,'a');", "a value does not fit column i"),
     ],
