@@ -15,8 +15,15 @@ CREATE_DATABASE = (
 HEADER_ENDS = ["CREATE TABLE", "INSERT INTO", "LOCK TABLES"]
 
 
+# The characters Unicode counts as white space.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def _trimmed(line: Column) -> Column:
-    return F.regexp_replace(line, r"(?U)^\s+|\s+$", "")
+    return F.btrim(line, F.lit(WHITE_SPACE))
 
 
 def ends_header(line: Column) -> Column:
@@ -28,7 +35,16 @@ def ends_header(line: Column) -> Column:
 
 
 def named_database(line: Column) -> Column:
-    """The database a header line names, or null."""
+    """The database a header line names, or null.
+
+    A pattern is tried only where its keyword stands, as most lines name nothing.
+    """
     trimmed = _trimmed(line)
-    found = [F.nullif(F.regexp_extract(trimmed, p, 1), F.lit("")) for p in (COMMENT_DATABASE, USE_DATABASE, CREATE_DATABASE)]
+    low = F.lower(trimmed)
+    worth_trying = [
+        (F.contains(low, F.lit("database:")), COMMENT_DATABASE),
+        (F.startswith(low, F.lit("use")), USE_DATABASE),
+        (F.startswith(low, F.lit("create")), CREATE_DATABASE),
+    ]
+    found = [F.when(c, F.nullif(F.regexp_extract(trimmed, p, 1), F.lit(""))) for c, p in worth_trying]
     return F.coalesce(*found)

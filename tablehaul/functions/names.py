@@ -10,9 +10,14 @@ from pyspark.sql import functions as F
 DUMP_FILE = r"(?i)[^/]\.sql(\.gz)?$"
 
 
+# The text before the first ``__``, or else before the first of several dots (a
+# closing ``.gz`` not counted), where that text is not empty.
+DATABASE_IN_NAME = r"(?is)^(?:(?:(?!__).)+(?=__)|[^.]+(?=\..*\.(?!gz\z)))"
+
+
 def base_name(path: Column) -> Column:
     """The last segment of a path, ignoring trailing slashes."""
-    return F.substring_index(F.regexp_replace(path, r"/+$", ""), "/", -1)
+    return F.substring_index(F.rtrim(path, F.lit("/")), "/", -1)
 
 
 def size_mb(size_bytes: Column) -> Column:
@@ -20,13 +25,12 @@ def size_mb(size_bytes: Column) -> Column:
 
 
 def guess_database(file_name: Column) -> Column:
-    """``db__table.sql`` or ``db.table.sql`` names its database; other names give null."""
-    stem = F.regexp_replace(file_name, r"(?i)\.gz$", "")
-    first_dot = F.instr(stem, ".")
-    two_dots = F.length(stem) - F.length(F.replace(stem, F.lit("."), F.lit(""))) > 1
-    return F.when(F.instr(stem, "__") > 1, F.substring_index(stem, "__", 1)).when(
-        two_dots & (first_dot > 1), F.substring_index(stem, ".", 1)
-    )
+    """``db__table.sql`` or ``db.table.sql`` names its database; other names give null.
+
+    One pattern rather than several string functions: the name is often itself a
+    long expression, and every mention of it would be computed again in a filter.
+    """
+    return F.regexp_substr(file_name, F.lit(DATABASE_IN_NAME))
 
 
 def comma_list(text: str) -> list[str]:

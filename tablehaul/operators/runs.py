@@ -66,8 +66,8 @@ def failures(events: DataFrame, log_dir: str, silent: str = IMPORT_SILENT) -> Da
     )
 
 
-def failure_log(failed: DataFrame, title: str = "IMPORT FAILURE") -> Column:
-    """The text kept for one failure."""
+def failure_log(title: str = "IMPORT FAILURE") -> Column:
+    """The text kept for one row of ``failures``."""
     code = F.coalesce(F.col("exit_code").cast("string"), F.lit("none"))
     trimmed = F.regexp_replace(F.coalesce("message", F.lit("")), r"^\s+|\s+$", "")
     return F.concat_ws(
@@ -82,6 +82,14 @@ def failure_log(failed: DataFrame, title: str = "IMPORT FAILURE") -> Column:
     )
 
 
+def write_failure_logs(failed: DataFrame, path: str) -> bool:
+    """The failures with their log texts as JSON lines, one per failure, if there are any."""
+    if failed.isEmpty():
+        return False
+    failed.withColumn("log_text", failure_log()).write.mode("append").json(path)
+    return True
+
+
 def write_failed_files(failed: DataFrame, path: str) -> bool:
     """The retry list, one path per line; none is written when nothing failed."""
     if failed.isEmpty():

@@ -95,8 +95,9 @@ def ewma_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _phased(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rated = _rates(spark, sf_dir)
-    totals = rated.groupBy("worker").agg(F.max("bytes_current").alias("_most"))
+    samples = views.samples(spark, sf_dir)
+    rated = sequence.rates(samples, ["worker"])
+    totals = samples.groupBy("worker").agg(F.max("bytes_current").alias("_most"))
     part = F.call_function("div", F.col("_most") * 3, F.lit(4).cast("bigint"))
     sizes = totals.select("worker", part.alias("total_bytes"))
     return runs.task_phase(salted_join(rated, sizes, ["worker"], F.col("event_id")))

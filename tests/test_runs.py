@@ -251,7 +251,9 @@ def test_export_then_import_then_resume(spark, work):
     row = failed.first()
     assert row.file_name == "shop__broken.sql" and "dump not understood" in row.error_snippet + (row.message or "")
     assert row.log_path.endswith("/logs/shop__shop__broken.sql.err.log")
-    assert "Database: shop" in failed.select(runs.failure_log(failed).alias("t")).first().t
+    assert runs.write_failure_logs(failed, work + "/logs/failures")
+    assert "Database: shop\nFile: " in spark.read.json(work + "/logs/failures").first().log_text
+    assert not runs.write_failure_logs(failed.where("false"), work + "/logs/none")
     assert runs.write_failed_files(failed, work + "/logs/failed_files.txt")
 
     resumed = import_plan(candidates(spark, work + "/dumps"), ledger=ledger.read_ledger(spark, work + "/ledger"))
