@@ -144,10 +144,14 @@ def write_dump(
     database: str,
     table: str,
     compress: bool = False,
-    mode: str = "errorifexists",
+    mode: str = "overwrite",
     **options,
 ) -> None:
-    """Write a dump folder; uncommitted parts of a failed job stay hidden."""
+    """Write a dump folder, in place of an older one of that name.
+
+    Uncommitted parts of a failed job are removed or stay hidden, so a run that
+    is tried again can use the same path.
+    """
     text = dump_text(df, database, table, **options)
     writer = text.write.mode(mode)
     if compress:

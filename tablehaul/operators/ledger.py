@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,15 +13,19 @@ SCHEMA = "database string, relative_path string, file_name string, size_bytes bi
 
 
 def append_finished(finished: DataFrame, ledger: str) -> None:
-    """Record items after their data is committed. Appends rows, rewrites nothing."""
-    finished.select("database", "relative_path", "file_name", "size_bytes", "finished_at").write.mode(
-        "append"
-    ).parquet(ledger)
+    """Record items after their data is committed. Appends rows, rewrites nothing.
+
+    Each call writes a subfolder of its own: jobs that append to one folder at
+    the same time would remove each other's uncommitted files.
+    """
+    finished.select("database", "relative_path", "file_name", "size_bytes", "finished_at").write.parquet(
+        f"{ledger}/append-{uuid.uuid4().hex}"
+    )
 
 
 def read_ledger(spark: SparkSession, ledger: str) -> DataFrame:
     """The latest record of each item, so recording one twice changes nothing."""
-    rows = spark.read.schema(SCHEMA).parquet(ledger)
+    rows = spark.read.schema(SCHEMA).option("recursiveFileLookup", "true").parquet(ledger)
     latest = rows.groupBy("database", "relative_path").agg(
         F.max(F.struct("finished_at", "file_name", "size_bytes")).alias("l")
     )

@@ -15,19 +15,22 @@ def restore(
     schema: T.StructType | None = None,
     table: str | None = None,
     spread: int | None = None,
+    mode: str = "overwrite",
 ) -> None:
     """Restore a dump to Parquet at ``target``, one pass over the text.
 
     A line, row or value that is not understood fails the job, and the job's
     commit then never happens: no half-filled table is left to be read.
-    ``quarantine`` shows what was wrong.
+    ``quarantine`` shows what was wrong. As a dump drops its table first, a
+    table already at ``target`` is replaced; ``mode="append"`` suits a dump of
+    rows only.
     """
-    read_dump(spark, path, schema, table, spread).write.mode("errorifexists").parquet(target)
+    read_dump(spark, path, schema, table, spread).write.mode(mode).parquet(target)
 
 
 def restore_as_table(spark: SparkSession, path: str, database: str, table: str, spread: int | None = None) -> None:
     """Restore a dump as a table of the session's catalog."""
-    read_dump(spark, path, spread=spread).write.mode("errorifexists").saveAsTable(f"`{database}`.`{table}`")
+    read_dump(spark, path, spread=spread).write.mode("overwrite").saveAsTable(f"`{database}`.`{table}`")
 
 
 def quarantine(spark: SparkSession, path: str, table: str | None = None) -> DataFrame:

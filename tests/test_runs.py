@@ -13,10 +13,11 @@ from tablehaul.functions import text
 from tablehaul.operators import ledger, runs, sequence
 from tablehaul.operators.dump_writer import write_dump
 from tablehaul.operators.joins import salted_join
+from tablehaul.operators.restore import restore_as_table
 from tablehaul.plans.export import export_plan, run_export
 from tablehaul.plans.imports import candidates, import_plan, run_import
 from tablehaul.sources import finished
-from tablehaul.sources.catalog import parquet_tables, session_databases
+from tablehaul.sources.catalog import parquet_tables, session_databases, session_tables
 from tablehaul.sources.dump_reader import read_dump
 from tablehaul.sources.inventory import list_dumps
 from tablehaul.streaming import rates, reports
@@ -147,6 +148,15 @@ def test_ledger_keeps_equal_names_apart(spark, work):
     assert [r.path for r in ledger.pending_exact(tasks, latest).collect()] == ["b/users.sql"]
 
 
+def test_many_record_at_once(spark, work):
+    from concurrent.futures import ThreadPoolExecutor
+
+    tasks = _tasks(spark, [f"a/t{i}.sql" for i in range(12)]).withColumn("finished_at", F.current_timestamp())
+    with ThreadPoolExecutor(6) as pool:
+        list(pool.map(lambda i: ledger.append_finished(tasks.where(F.col("path") == f"a/t{i}.sql"), work + "/ledger"), range(12)))
+    assert ledger.read_ledger(spark, work + "/ledger").count() == 12
+
+
 def test_create_databases(spark):
     missing = spark.createDataFrame([("made_here",)], "database string")
     ledger.create_databases(spark, missing)
@@ -266,6 +276,24 @@ def test_export_then_import_then_resume(spark, work):
     retried = known.join(resolve_retry(retry_lines(listed), known, F.lit(work + "/dumps")), "path")
     assert [r.file_name for r in candidates(spark, work + "/dumps", items=retried).collect()] == ["shop__broken.sql"]
 
+    _write(work + "/dumps/shop__broken.sql", "-- Database: `shop`\nCREATE TABLE `broken` (`i` int);\nINSERT INTO `broken` VALUES (1);\n")
+    again = import_plan(candidates(spark, work + "/dumps"), ledger=ledger.read_ledger(spark, work + "/ledger"))
+    assert runs.summary(run_import(spark, again, work + "/restored", work + "/ledger")).first().completed == 1
+    assert spark.read.parquet(work + "/restored/shop/broken").collect()[0].i == 1
+    assert import_plan(candidates(spark, work + "/dumps"), ledger=ledger.read_ledger(spark, work + "/ledger")).count() == 0
+    assert runs.summary(run_export(spark, plan, read, compress=True)).first().completed == 2
+
+
+def test_restore_as_table(spark, work):
+    spark.sql(f"CREATE DATABASE restored_db LOCATION '{work}/db'")
+    df = spark.range(9).selectExpr("id", "concat('v', id) as s")
+    write_dump(df, work + "/t.sql", "restored_db", "t")
+    for _ in range(2):
+        restore_as_table(spark, work + "/t.sql", "restored_db", "t")
+    assert spark.table("restored_db.t").exceptAll(df).count() == 0 and spark.table("restored_db.t").count() == 9
+    assert [(r.table_name, r.table_type) for r in session_tables(spark, "restored_db").collect()] == [("t", "BASE TABLE")]
+    spark.sql("DROP DATABASE restored_db CASCADE")
+
 
 def test_a_failing_table_does_not_stop_the_others(spark, work):
     root = _shop(spark, work)
