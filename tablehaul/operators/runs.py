@@ -119,13 +119,14 @@ def task_phase(samples: DataFrame) -> DataFrame:
     )
 
 
-def overall_progress(latest: DataFrame, finished_bytes: DataFrame) -> DataFrame:
+def overall_progress(latest: DataFrame, finished_bytes: DataFrame, *keys: str) -> DataFrame:
     """Active tasks, bytes done so far, and the longest ETA among active tasks.
 
-    ``latest`` has one row per active task (``task_phase`` columns);
-    ``finished_bytes`` is one row with ``completed_bytes``.
+    ``latest`` has one row per active task (``task_phase`` columns), and per
+    ``keys`` if there are any, such as a tick of the clock; ``finished_bytes`` is
+    one row with ``completed_bytes``.
     """
-    active = latest.agg(
+    active = latest.groupBy(*keys).agg(
         F.count("*").alias("active"),
         F.coalesce(F.sum("bytes_current"), F.lit(0).cast("bigint")).alias("live_bytes"),
         F.max("eta_s").alias("eta_s"),

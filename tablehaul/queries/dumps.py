@@ -88,40 +88,39 @@ SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'NULL
 """
 
 
-def structure_only(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each table's columns as its structure-only dump tells them, beside its rows."""
-    root = fresh_dir(spark, "structure")
-    catalog = parquet_tables(spark, sf_dir, DATABASE)
-    per_table = []
-    for name in TABLES:
-        source = table(spark, sf_dir, name)
-        path = f"{root}/{dump_name(name, DATABASE)}"
-        write_dump(source, path, DATABASE, name, rows=False)
-        parsed, schema = read_schema(spark, path)
-        columns = F.array(
-            *[
-                F.struct(
-                    F.lit(i + 1).alias("ordinal"),
-                    F.lit(f.name).alias("column_name"),
-                    F.lit(mysql_type(f.dataType)).alias("column_type"),
-                )
-                for i, f in enumerate(schema.fields)
-            ]
-        )
-        rows = read_dump(spark, path, schema).agg(F.count("*").alias("dump_rows"))
-        per_table.append(rows.select(F.lit(parsed).alias("table_name"), "dump_rows", F.explode(columns).alias("c")))
-    columns = reduce(DataFrame.unionAll, per_table).select("table_name", "c.*", "dump_rows")
-    counted = catalog.select("table_name", F.col("rows").alias("source_rows"))
-    return columns.join(counted, "table_name")
+def _described(rows: bool):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Each table's columns as its dump's DDL tells them, and the rows of dump and table."""
+        catalog = parquet_tables(spark, sf_dir, DATABASE)
+        per_table = []
+        for name in TABLES:
+            path = _written(spark, sf_dir, name, False, rows=rows)
+            parsed, schema = read_schema(spark, path)
+            columns = F.array(
+                *[
+                    F.struct(
+                        F.lit(i + 1).alias("ordinal"),
+                        F.lit(f.name).alias("column_name"),
+                        F.lit(mysql_type(f.dataType)).alias("column_type"),
+                    )
+                    for i, f in enumerate(schema.fields)
+                ]
+            )
+            counted = read_dump(spark, path, schema).agg(F.count("*").alias("dump_rows"))
+            per_table.append(counted.select(F.lit(parsed).alias("table_name"), "dump_rows", F.explode(columns).alias("c")))
+        columns = reduce(DataFrame.unionAll, per_table).select("table_name", "c.*", "dump_rows")
+        return columns.join(catalog.select("table_name", F.col("rows").alias("source_rows")), "table_name")
+
+    return query
 
 
 _COUNTS = "\nUNION ALL\n".join(f"SELECT '{t}' AS table_name, count(*) AS source_rows FROM {t}" for t in TABLES)
-STRUCTURE_SQL = f"""
+DESCRIBED_SQL = f"""
 WITH counted AS ({_COUNTS})
 SELECT c.table_name, CAST(c.ordinal_position AS INT) AS ordinal, c.column_name,
   CASE c.data_type WHEN 'INTEGER' THEN 'INT' WHEN 'VARCHAR' THEN 'LONGTEXT' WHEN 'TIMESTAMP' THEN 'DATETIME(6)'
     WHEN 'FLOAT[]' THEN 'JSON' ELSE c.data_type END AS column_type,
-  CAST(0 AS BIGINT) AS dump_rows, n.source_rows
+  @rows AS dump_rows, n.source_rows
 FROM information_schema.columns c JOIN counted n ON c.table_name = n.table_name
 """
 
@@ -220,7 +219,8 @@ QUERIES |= {f"roundtrip_{t}_gz": roundtrip(t, True) for t in TABLES}
 QUERIES |= {
     "roundtrip_nulls": nulls_roundtrip,
     "export_rows_only": export_rows_only,
-    "export_structure_only": structure_only,
+    "export_structure_only": _described(rows=False),
+    "ddl_catalog": _described(rows=True),
     "restore_tables": restore_tables,
     "dump_statements": dump_statements,
     "insert_batches": insert_batches,
@@ -231,7 +231,8 @@ ORACLES = {f"roundtrip_{t}{end}": f"SELECT * FROM {t}" for t in TABLES for end i
 ORACLES |= {
     "roundtrip_nulls": NULLS_SQL,
     "export_rows_only": "SELECT * FROM orders",
-    "export_structure_only": STRUCTURE_SQL,
+    "export_structure_only": DESCRIBED_SQL.replace("@rows", "CAST(0 AS BIGINT)"),
+    "ddl_catalog": DESCRIBED_SQL.replace("@rows", "n.source_rows"),
     "restore_tables": "SELECT * FROM customer",
     "dump_statements": DUMP_SQL,
     "insert_batches": INSERT_SQL,

@@ -110,14 +110,14 @@ def task_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def overall_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """State at the eighth second of the compressed clock."""
-    phased = _phased(spark, sf_dir).where(F.col("t_s") <= 8.0)
-    last = phased.groupBy("worker").agg(
+    """The progress line at every second of the clock, from the workers seen in it."""
+    phased = _phased(spark, sf_dir).withColumn("tick", F.floor("t_s").cast("bigint"))
+    last = phased.groupBy("tick", "worker").agg(
         F.max(F.struct("t_s", "event_id", "bytes_current", "eta_s")).alias("l")
-    ).select("worker", "l.bytes_current", "l.eta_s")
-    finished = runs.summary(views.runs(spark, sf_dir))
-    out = runs.overall_progress(last, finished)
+    ).select("tick", "worker", "l.bytes_current", "l.eta_s")
+    out = runs.overall_progress(last, runs.summary(views.runs(spark, sf_dir)), "tick")
     return out.select(
+        "tick",
         "active",
         "live_bytes",
         "done_bytes",
@@ -208,10 +208,11 @@ FROM runs WHERE kind = 'failed'""",
     "overall_progress": _rate_sql(
         "runs samples",
         ",\n".join((STEPS, FOLDED, PHASED)),
-        f"""SELECT active, live_bytes, done_bytes, {bytes_sql("done_bytes", True)} AS done_text, eta_s FROM (
-  SELECT count(*) AS active, CAST(sum(bytes_current) AS BIGINT) AS live_bytes, round(max(eta_s), 3) AS eta_s,
+        f"""SELECT tick, active, live_bytes, done_bytes, {bytes_sql("done_bytes", True)} AS done_text, eta_s FROM (
+  SELECT tick, count(*) AS active, CAST(sum(bytes_current) AS BIGINT) AS live_bytes, round(max(eta_s), 3) AS eta_s,
     CAST(sum(bytes_current) + (SELECT sum(size_bytes) FROM runs WHERE kind = 'finished') AS BIGINT) AS done_bytes
-  FROM (SELECT *, row_number() OVER (PARTITION BY worker ORDER BY t_s DESC, event_id DESC) AS k FROM phased WHERE t_s <= 8.0) p
-  WHERE k = 1) q""",
+  FROM (SELECT *, CAST(floor(t_s) AS BIGINT) AS tick,
+    row_number() OVER (PARTITION BY worker, CAST(floor(t_s) AS BIGINT) ORDER BY t_s DESC, event_id DESC) AS k FROM phased) p
+  WHERE k = 1 GROUP BY tick) q""",
     ),
 }

@@ -120,26 +120,27 @@ def missing_databases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ledger_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two overlapping runs recorded, then read back once per item."""
+    """All tasks recorded by one run, the listed ones again by a later run, then read back."""
     path = fresh_dir(spark, "ledger")
     items = tasks(spark, sf_dir)
     first = F.lit("2024-02-01 00:00:00").cast("timestamp")
     second = F.lit("2024-02-02 00:00:00").cast("timestamp")
-    ledger.append_finished(items.where("file_id % 3 < 2").withColumn("finished_at", first), path)
-    ledger.append_finished(items.where("file_id % 3 > 0").withColumn("finished_at", second), path)
+    ledger.append_finished(items.withColumn("finished_at", first), path)
+    listed = ledger.finished(items, _entries(spark, sf_dir))
+    ledger.append_finished(listed.withColumn("finished_at", second), path)
     latest = ledger.read_ledger(spark, path)
-    left = ledger.pending_exact(items.withColumn("relative_path", F.concat("relative_path", F.lit("x"))), latest)
+    left = ledger.pending_exact(items, latest).agg(F.count("*").alias("n")).select("n").scalar()
     state = latest.groupBy(F.col("finished_at").cast("timestamp_ntz").alias("finished_at")).agg(
         F.count("*").alias("items"), F.sum("size_bytes").alias("size_bytes")
     )
-    return state.withColumn("unmatched", F.lit(left.count()))
+    return state.withColumn("pending", left)
 
 
 LEDGER_SQL = oracle(
-    "inv",
-    f"""SELECT CASE WHEN file_id % 3 > 0 THEN TIMESTAMP '2024-02-02 00:00:00' ELSE TIMESTAMP '2024-02-01 00:00:00' END AS finished_at,
-  count(*) AS items, CAST(sum(size_bytes) AS BIGINT) AS size_bytes,
-  (SELECT count(*) FROM ({TASKS}) u) AS unmatched FROM ({TASKS}) t GROUP BY 1""",
+    "inv done",
+    f"""SELECT CASE WHEN d THEN TIMESTAMP '2024-02-02 00:00:00' ELSE TIMESTAMP '2024-02-01 00:00:00' END AS finished_at,
+  count(*) AS items, CAST(sum(size_bytes) AS BIGINT) AS size_bytes, CAST(0 AS BIGINT) AS pending
+FROM (SELECT *, {IS_DONE} AS d FROM ({TASKS}) t) m GROUP BY 1""",
 )
 
 QUERIES = {

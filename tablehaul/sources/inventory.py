@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablehaul.functions.headers import HEADER_ENDS
 from tablehaul.functions.names import DUMP_FILE, base_name
 from tablehaul.sources.files import open_stream
 
@@ -123,25 +124,26 @@ def header_lines(items: DataFrame, max_lines: int = HEADER_LINES) -> DataFrame:
 
 
 def _head(uri: str, max_lines: int) -> list[str]:
+    """First lines of a file; a file that cannot be read on ends its header there."""
     lines: list[str] = []
-    with open_stream(uri) as stream:
-        pending = b""
-        while len(lines) < max_lines:
-            block = stream.read(16384)
-            pending += block
-            *whole, pending = pending.split(b"\n")
-            if not block and pending:
-                whole, pending = [*whole, pending], b""
-            for raw in whole:
-                try:
+    pending = b""
+    try:
+        with open_stream(uri) as stream:
+            while len(lines) < max_lines:
+                block = stream.read(16384)
+                pending += block
+                *whole, pending = pending.split(b"\n")
+                if not block and pending:
+                    whole, pending = [*whole, pending], b""
+                for raw in whole:
                     lines.append(raw.rstrip(b"\r").decode("utf-8"))
-                except UnicodeDecodeError:
-                    return lines[:max_lines]
-                # rows follow: nothing past this line can name the database
-                if lines[-1].lstrip().startswith(("CREATE TABLE", "INSERT INTO", "LOCK TABLES")):
-                    return lines[:max_lines]
-            if pending.lstrip().startswith(b"INSERT INTO"):
-                return [*lines, "INSERT INTO"][:max_lines]
-            if not block:
-                break
+                    # rows follow: nothing past this line can name the database
+                    if lines[-1].lstrip().startswith(tuple(HEADER_ENDS)):
+                        return lines[:max_lines]
+                if pending.lstrip().startswith(b"INSERT INTO"):
+                    return [*lines, "INSERT INTO"][:max_lines]
+                if not block:
+                    break
+    except (OSError, UnicodeDecodeError):
+        pass  # the restore itself will fail on such a file and say why
     return lines[:max_lines]

@@ -64,10 +64,13 @@ def test_headers_of_files(spark, work):
     _file(f"{work}/f91 a%20b.sql", "-- Database: spaced")
     _file(f"{work}/f92.sql", b"INSERT INTO `t` VALUES ('" + b"x" * 300000 + b"');\nUSE late;\n")
     _file(f"{work}/f93.sql", "")
+    _file(f"{work}/f94.sql.gz", b"this is not gzip")
+    cut = gzip.compress(b"USE cut;\n" + os.urandom(100000).hex().encode())
+    _file(f"{work}/f95.sql.gz", cut[: len(cut) // 2])
     items = list_dumps(spark, work)
     found = {r.file_name[:3]: r.header_db for r in items.join(detect_database(header_lines(items), "path"), "path", "left").collect()}
     want = {f"f{i:02}": h for i, (_, h) in enumerate(HEADERS)}
-    assert found == {**want, "f90": None, "f91": "spaced", "f92": None}
+    assert found == {**want, "f90": None, "f91": "spaced", "f92": None, "f94": None, "f95": "cut"}
 
 
 def test_list_dumps(spark, work):
