@@ -15,9 +15,11 @@ def shared_dir(spark: SparkSession) -> str:
     test session) is a folder made and set here.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    current = spark.sparkContext.getCheckpointDir()
     if configured:
+        if not current:
+            spark.sparkContext.setCheckpointDir(configured)
         return configured.rstrip("/")
-    current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
     made = tempfile.mkdtemp(prefix="tablehaul-")
