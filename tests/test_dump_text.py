@@ -225,6 +225,10 @@ def test_one_table_of_several(spark, work):
         ("INSERT INTO `t` VALUES (1,);", "number of fields"),
         ("INSERT INTO `t` VALUES ('1,a');", "number of fields"),
         ("INSERT INTO `t` VALUES (',');", "number of fields"),
+        ("INSERT INTO `t` VALUES (1,'a'b);", "number of fields"),
+        ("INSERT INTO `t` VALUES (1,b'a');", "number of fields"),
+        ("INSERT INTO `t` VALUES (1,'a'',b);", "text between the rows"),
+        ("INSERT INTO `t` VALUES (,'a');", "number of fields"),
         ("INSERT INTO `t` VALUES (1,a);", "a value does not fit column s"),
         ("INSERT INTO `t` VALUES (abc,'a');", "a value does not fit column i"),
         ("INSERT INTO `t` VALUES (99999999999,'a');", "a value does not fit column i"),
