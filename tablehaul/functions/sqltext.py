@@ -115,9 +115,14 @@ def unescape(column: Column) -> Column:
     return F.when(F.contains(column, F.lit("\\")), whole).otherwise(F.replace(column, F.lit("''"), F.lit("'")))
 
 
-def is_null_token(raw: Column) -> Column:
+def is_null_token(raw: str) -> str:
     """The bare word NULL; the length test spares most tokens the upper-casing."""
-    return (F.octet_length(raw) == 4) & (F.upper(raw) == "NULL")
+    return f"(octet_length({raw}) = 4 AND upper({raw}) = 'NULL')"
+
+
+def _bare(raw: str) -> str:
+    """The text of a token that can hold no escapes, such as a number or a date."""
+    return f"CASE WHEN startswith({raw}, chr(39)) THEN substring({raw}, 2, char_length({raw}) - 2) ELSE {raw} END"
 
 
 def _inside(raw: Column) -> Column:
@@ -130,11 +135,6 @@ def unquoted(raw: Column) -> Column:
     return F.when(F.startswith(raw, F.lit("'")), unescape(_inside(raw))).otherwise(number)
 
 
-def _bare(raw: Column) -> Column:
-    """The text of a token that can hold no escapes, such as a number or a date."""
-    return F.when(F.startswith(raw, F.lit("'")), _inside(raw)).otherwise(raw)
-
-
 def _utc_text(column: Column) -> Column:
     """An instant as UTC wall-clock text, whatever the session time zone is."""
     seconds = F.unix_micros(column).cast("decimal(20,0)") / F.lit(1000000).cast("decimal(7,0)")
@@ -170,29 +170,34 @@ def literal(column: Column, dtype: T.DataType, name: str = "value") -> Column:
     return F.when(column.isNull(), "NULL").otherwise(text)
 
 
-def value_of(raw: Column, dtype: T.DataType, strict: bool = False) -> Column:
-    """The value a literal stands for; null when it is ``NULL`` or unreadable.
+def value_of(raw: str, dtype: T.DataType, strict: bool = False) -> Column:
+    """The value of a token; null when it is ``NULL`` or unreadable.
 
+    ``raw`` is the token as SQL text, and plain types stay SQL text: putting a
+    wide table's expressions together call by call takes longer than reading it.
     ``strict`` makes unreadable JSON fail, which could otherwise come back as a
     struct of nulls.
     """
     kind = dtype.simpleString()
+    plain = None
     if isinstance(dtype, T.BooleanType):
-        value = _bare(raw).try_cast("bigint") != 0
-    elif isinstance(dtype, T.NumericType):
-        value = _bare(raw).try_cast(kind)
-    elif isinstance(dtype, (T.DateType, T.TimestampNTZType, T.TimeType)):
-        value = _bare(raw).try_cast(kind)
+        plain = f"try_cast({_bare(raw)} AS bigint) <> 0"
+    elif isinstance(dtype, (T.NumericType, T.DateType, T.TimestampNTZType, T.TimeType)):
+        plain = f"try_cast({_bare(raw)} AS {kind})"
     elif isinstance(dtype, T.TimestampType):
-        value = F.concat(_bare(raw), F.lit("+00:00")).try_cast(kind)
-    elif isinstance(dtype, T.BinaryType):
-        hexed = F.unhex(F.substring(raw, F.lit(3), F.char_length(raw)))
-        text = F.regexp_replace(raw, r"(?i)^_binary\s+", "")
-        value = F.when(F.startswith(F.lower(F.substring(raw, 1, 2)), F.lit("0x")), hexed).otherwise(
+        plain = f"try_cast(concat({_bare(raw)}, '+00:00') AS {kind})"
+    if plain is not None:
+        return F.expr(f"CASE WHEN {is_null_token(raw)} THEN NULL ELSE {plain} END")
+    token = F.expr(raw)
+    if isinstance(dtype, T.BinaryType):
+        hexed = F.unhex(F.substring(token, F.lit(3), F.char_length(token)))
+        text = F.regexp_replace(token, r"(?i)^_binary\s+", "")
+        value = F.when(F.startswith(F.lower(F.substring(token, 1, 2)), F.lit("0x")), hexed).otherwise(
             F.encode(unquoted(text), "UTF-8")
         )
     elif isinstance(dtype, NESTED):
-        value = F.from_json(unquoted(raw), dtype, {**JSON_OPTIONS, "mode": "FAILFAST" if strict else "PERMISSIVE"})
+        options = {**JSON_OPTIONS, "mode": "FAILFAST" if strict else "PERMISSIVE"}
+        value = F.from_json(unquoted(token), dtype, options)
     else:
-        value = unquoted(raw)
-    return F.when(is_null_token(raw), F.lit(None)).otherwise(value)
+        value = unquoted(token)
+    return F.when(F.expr(is_null_token(raw)), F.lit(None)).otherwise(value)

@@ -7,6 +7,8 @@ a gzip file is one task, which is why the writer makes many parts per table.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -155,6 +157,20 @@ def _fail(problem: Column, text: Column) -> Column:
     return F.raise_error(F.concat(*parts))
 
 
+def _token(i: int) -> str:
+    return f"get(_fields, {i})"
+
+
+def _lost(i: int, field: T.StructField) -> Column:
+    """Fails where field ``i`` is not NULL; used where its value came out null."""
+    name = re.sub(r"['\\]", "", field.name)
+    failed = F.expr(
+        f"CASE WHEN NOT {is_null_token(_token(i))} THEN raise_error(concat("
+        f"'dump not understood: {PROBLEM_VALUE} {name} in ', _file, ': ', left({_token(i)}, 200))) END"
+    )
+    return failed.cast(field.dataType)
+
+
 def parse_lines(lines: DataFrame, schema: T.StructType, table: str | None = None) -> DataFrame:
     """Typed rows; the job fails at the first line, row or value not understood.
 
@@ -180,10 +196,8 @@ def parse_lines(lines: DataFrame, schema: T.StructType, table: str | None = None
     rows = texts.select("_file", F.explode(tokens).alias("_fields"))
     columns = []
     for i, field in enumerate(schema.fields):
-        raw = F.get(F.col("_fields"), i)
-        value = value_of(raw, field.dataType, strict=True)
-        lost = F.when(~is_null_token(raw), _fail(F.lit(f"{PROBLEM_VALUE} {field.name}"), raw))
-        columns.append(F.coalesce(value, lost.cast(field.dataType)).alias(field.name))
+        value = value_of(_token(i), field.dataType, strict=True)
+        columns.append(F.coalesce(value, _lost(i, field)).alias(field.name))
     return rows.select(*columns)
 
 
@@ -198,8 +212,7 @@ def find_problems(lines: DataFrame, schema: T.StructType, table: str | None = No
     rows = texts.select("_file", "_text", F.explode(F.array(_fields(F.col("_text"), schema))).alias("_fields"))
     problem = F.when(F.size("_fields") != len(schema.fields), PROBLEM_FIELDS)
     for i, field in enumerate(schema.fields):
-        raw = F.get(F.col("_fields"), i)
-        lost = value_of(raw, field.dataType).isNull() & ~is_null_token(raw)
+        lost = value_of(_token(i), field.dataType).isNull() & F.expr(f"NOT {is_null_token(_token(i))}")
         problem = F.coalesce(problem, F.when(lost, f"{PROBLEM_VALUE} {field.name}"))
     bad_values = rows.select(
         F.col("_file").alias("file"), problem.alias("problem"), F.col("_text").alias("text")

@@ -292,3 +292,16 @@ def test_spread_of_gzip_lines(spark, work):
     df = spark.range(0, 5000, 1, 1)
     write_dump(df, work + "/t.sql.gz", "shop", "t", True, buffer_bytes=500)
     assert read_dump(spark, work + "/t.sql.gz", spread=4).agg(F.sum("id")).first()[0] == sum(range(5000))
+
+
+def test_patterns_do_not_run_out_of_stack(spark, work):
+    wide = T.StructType([T.StructField(f"c{i}", T.IntegerType()) for i in range(600)])
+    with open(work + "/wide.sql", "w") as f:
+        f.write("INSERT INTO t VALUES (" + ",".join(["7"] * 600) + "),(" + ",".join(["NULL"] * 600) + ");\n")
+    assert read_dump(spark, work + "/wide.sql", wide).select("c0", "c599").count() == 2
+
+    one = T.StructType([T.StructField("s", T.StringType()), T.StructField("t", T.StringType())])
+    with open(work + "/quotes.sql", "w") as f:
+        f.write("INSERT INTO t VALUES ('" + "''" * 300000 + "','x'),('" + "'',''" * 100000 + "','\\n');\n")
+        f.write("INSERT INTO t VALUES " + ",".join(["('a','b')"] * 100000) + ";\n")
+    assert read_dump(spark, work + "/quotes.sql", one).agg(F.sum(F.length("s"))).first()[0] == 300000 + 300000 + 100000
