@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablehaul.llm.components import components
-from tablehaul.llm.shared import id_and_text, map_slices, stored, table
+from tablehaul.llm.shared import SLICE_BYTES, id_and_text, map_slices, slices, stored, table
 from tablehaul.llm.words import Words, mix, signed
 
 N, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.9999, 5
@@ -248,8 +248,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     one = own.groupBy("doc_id").agg(F.min("node").alias("node"))
     chosen = own.join(one.withColumnRenamed("doc_id", "_id"), (F.col("doc_id").eqNullSafe(F.col("_id"))) & (own["node"] == one["node"]), "left_semi")
     chosen = stored(chosen.select(F.col("doc_id").alias("_doc"), F.col("node").alias("_node"), "_rows"), "ngram-kept")
-    digest = F.pandas_udf(_digest, "long")
-    marked = docs.withColumn("_key", digest(docs[text_col].cast("string")))
+    digest = F.arrow_udf(_digest, "long")
+    marked = docs.withColumn("_key", digest(F.coalesce(docs[text_col].cast("string"), F.lit(""))))
     held = marked.join(chosen, marked[id_col].cast("long").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_node")))
     names = [f"`{c}`" for c in docs.columns]
     single = held.where("_rows = 1").select(*names)
@@ -257,11 +257,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return marked.where("_key IS NULL").select(*names).unionByName(single).unionByName(several)
 
 
-def _digest(texts):
-    import pandas as pd
-
-    w = Words(pa.array(texts, pa.string(), from_pandas=True))
-    return pd.Series(signed(w.digests()[0])).astype("Int64").mask(w.count == 0)
+def _digest(texts: pa.Array) -> pa.Array:
+    parts = []
+    for part in slices(pa.RecordBatch.from_arrays([texts], names=["text"]), "text", SLICE_BYTES):
+        w = Words(part.column(0))
+        parts.append(pa.array(signed(w.digests()[0]), mask=w.count == 0))
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.int64())
 
 
 def op2_ngram_jaccard_join(spark, sf_dir):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablehaul.llm.shared import id_and_text, id_remainder, map_slices, stored, table
+from tablehaul.llm.shared import SLICE_BYTES, id_and_text, id_remainder, map_slices, slices, stored, table
 from tablehaul.llm.words import Words
 
 SAMPLE = 4000
@@ -198,6 +198,19 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     return described.select("doc_id", model.score(F.col("f")).alias("score"))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", cutoff: float = CUTOFF) -> DataFrame:
+    """``docs`` without the rows whose score is below the cutoff; all columns stay."""
+    model = fit(stored(features(docs, id_col, text_col), "pu-features"), labels.where(~held_out(F.col("doc_id"))))
+
+    @F.arrow_udf("array<double>")
+    def described(texts: pa.Array) -> pa.Array:
+        parts = [describe(b.column(0)) for b in slices(pa.RecordBatch.from_arrays([texts], names=["text"]), "text", SLICE_BYTES)]
+        x = np.vstack(parts) if parts else np.zeros((0, len(FEATURES)))
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, len(FEATURES), dtype=np.int32)), pa.array(x.ravel()))
+
+    return docs.where(model.score(described(F.coalesce(docs[text_col].cast("string"), F.lit("")))) >= cutoff)
+
+
 def op6_positive_unlabelled_quality(spark, sf_dir):
     scored = score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "quality"))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= CUTOFF).cast("int").alias("predicted"))

@@ -45,11 +45,14 @@ class Words:
     words of row d; ``start`` and ``end`` are byte offsets in ``data``.
     """
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, fold: np.ndarray | None = None):
+        """fold: 256 bytes that stand for the text's bytes, for comparing without case or punctuation."""
         texts = texts.cast(pa.large_binary())
         offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
         whole = np.frombuffer(texts.buffers()[2], dtype=np.uint8) if texts.buffers()[2] else np.zeros(0, np.uint8)
         self.data = whole[offsets[0] : offsets[-1]]
+        if fold is not None:
+            self.data = fold[self.data]
         self.row_at = offsets - offsets[0]
         blank = (self.data == 32) | ((self.data >= 9) & (self.data <= 13))
         word = ~blank
