@@ -6,9 +6,11 @@ in the buckets of equal bands:
 
 1. every text of a bucket is paired with the bucket's smallest text (a star, so a bucket of
    n texts makes n pairs), and pairs are verified on full n-gram sets;
-2. texts of a bucket that are still in different classes are paired with each other,
-   unless their verified distances to the bucket's centre rule a link out (Jaccard distance is a
-   metric: texts can't be closer than those distances differ), and verified as well;
+2. while buckets hold many pairs of texts in different classes and that number falls, each such
+   bucket gets another star around another of its texts, so a group of near copies
+   grows together in a few turns; the pairs that are then left are all verified,
+   unless their distances to the bucket's first centre rule a link out (Jaccard distance is a
+   metric: texts can't be closer than those distances differ);
 3. linked texts form classes (connected components), and within a class every pair of
    texts is compared on full n-gram sets to count links; large classes are cut into
    blocks, so no task holds more than two blocks, and only counts leave a task.
@@ -36,6 +38,8 @@ from tablehaul.llm.words import Words, mix, signed
 N, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.9999, 5
 #: A block of a class: texts, and bytes of text.
 BLOCK_TEXTS, BLOCK_BYTES = 256, 8 << 20
+#: Undecided pairs for each text in an undecided bucket below which all of them are verified.
+SPARSE = 2
 
 
 def bands_for(threshold: float, recall: float, rows: int) -> int:
@@ -187,6 +191,15 @@ def _count_links(nodes: DataFrame, texts: DataFrame, n: int, threshold: float) -
     return grouped.applyInArrow(_block_counts(n, threshold), "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
 
 
+def _undecided(members: DataFrame, away: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of texts of a bucket in different classes that their distances to its centre leave possible."""
+    known = members.join(away, ["centre", "node"], "left").withColumn("far", F.coalesce("far", F.lit(0.0)))
+    x, y = (known.select("bucket", *(F.col(c).alias(f"{c}{s}") for c in ("node", "component", "far"))) for s in "xy")
+    near = F.abs(F.col("farx") - F.col("fary")) <= 1 - threshold + 1e-9
+    pairs = x.join(y, "bucket").where((F.col("nodex") < F.col("nodey")) & (F.col("componentx") != F.col("componenty")) & near)
+    return pairs.select(F.col("nodex").alias("a"), F.col("nodey").alias("b")).distinct()
+
+
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS) -> DataFrame:
     """doc_id, node, class_id, n_copies, n_links for every row.
 
@@ -212,19 +225,35 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     links = measured.where(F.col("sim") >= threshold).select("a", "b")
     found = stored(components(links), "ngram-components")
 
-    # Buckets whose texts are not yet of one class, with each text's distance to the centre.
-    classed = shared.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = classed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
     away = measured.select(F.col("a").alias("centre"), F.col("b").alias("node"), (1 - F.col("sim")).alias("far"))
-    open_ = classed.join(split, "bucket", "left_semi").where("node <> centre").join(away, ["centre", "node"])
-    open_ = stored(open_.select("bucket", "node", "component", "far"), "ngram-open")
-    x, y = (open_.select("bucket", *(F.col(c).alias(f"{c}{s}") for c in ("node", "component", "far"))) for s in "xy")
-    gap = 1 - threshold + 1e-9
-    cross = x.join(y, "bucket").where((F.col("nodex") < F.col("nodey")) & (F.col("componentx") != F.col("componenty")) & (F.abs(F.col("farx") - F.col("fary")) <= gap))
-    cross = cross.select(F.col("nodex").alias("a"), F.col("nodey").alias("b")).distinct()
-    more = stored(_verified(stored(cross, "ngram-cross"), texts, n).where(F.col("sim") >= threshold).select("a", "b"), "ngram-more")
-    if not more.isEmpty():
-        found = stored(components(links.unionByName(more)), "ngram-components")
+    open_pairs = None
+    turn = 0
+    while True:
+        # What is still undecided: pairs of a bucket's texts that are in different classes.
+        classed = shared.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        parts = classed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+        split = parts.groupBy("bucket").agg(F.sum("n").alias("n"), F.expr("sum(n * n)").alias("inner"), F.count("*").alias("classes")).where("classes > 1")
+        split = stored(split.select("bucket", "n", ((F.col("n") * F.col("n") - F.col("inner")) / 2).alias("pairs")), "ngram-split")
+        texts_open, now = split.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("pairs"), F.lit(0.0))).first()
+        if not now:
+            break
+        members_open = stored(classed.join(split.select("bucket"), "bucket", "left_semi"), "ngram-open")
+        last = now <= SPARSE * texts_open or (open_pairs is not None and now > 0.8 * open_pairs)
+        if last:
+            cross = _undecided(members_open, away, threshold)
+        else:
+            # Another star: each bucket's texts against one text of the bucket, another in each turn.
+            turn += 1
+            centres = members_open.groupBy("bucket").agg(F.min_by(F.struct("node", "component"), F.xxhash64("node", F.lit(turn))).alias("c"))
+            cross = members_open.join(centres.select("bucket", "c.*").toDF("bucket", "a", "ca"), "bucket").where("component <> ca")
+            cross = cross.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+        more = stored(_verified(stored(cross, "ngram-cross"), texts, n).where(F.col("sim") >= threshold).select("a", "b"), "ngram-more")
+        if not more.isEmpty():
+            links = stored(links.unionByName(more), "ngram-links")
+            found = stored(components(links), "ngram-components")
+        if last:
+            break
+        open_pairs = now
 
     nodes = stored(found.join(classes, "node").select("node", "component", "first", "copies"), "ngram-nodes")
     counts = _count_links(nodes.select("node", "component", "copies"), texts, n, threshold)
