@@ -4,11 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablehaul.operators.dump_writer import row_tuple
 
 
 def _weighted(df: DataFrame, weight: int) -> DataFrame:
+    # equal maps may list their entries in different orders
+    df = df.select(
+        *(
+            F.array_sort(F.map_entries(column)).alias(f.name) if isinstance(f.dataType, T.MapType) else column
+            for f, column in ((f, F.col("`" + f.name.replace("`", "``") + "`")) for f in df.schema.fields)
+        )
+    )
     digest = F.unhex(F.sha2(row_tuple(df).cast("binary"), 256))
     return df.select(digest.alias("row_digest"), F.lit(weight).cast("bigint").alias("weight"))
 

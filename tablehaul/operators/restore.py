@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from tablehaul.sources.dump_reader import find_problems, read_dump, read_lines, read_schema
+from tablehaul.sources.dump_reader import find_problems, read_dump, read_lines, read_schema, read_schemas
 
 
 def restore(
@@ -35,5 +35,6 @@ def restore_as_table(spark: SparkSession, path: str, database: str, table: str,
 
 def quarantine(spark: SparkSession, path: str, table: str | None = None) -> DataFrame:
     """The lines, rows and values of a dump that a restore would fail on."""
-    _, schema = read_schema(spark, path)
-    return find_problems(read_lines(spark, path), schema, table)
+    name, schema = read_schema(spark, path, table)
+    others = tuple(sorted(set(read_schemas(spark, path)) - {name}))
+    return find_problems(read_lines(spark, path), schema, name, others)

@@ -47,6 +47,14 @@ def in_chunks(df: DataFrame, series: list[str], order: list[str], chunks: int |
     return cut.withColumn("_chunk", F.spark_partition_id()).checkpoint()
 
 
+def _whole(values) -> np.ndarray:
+    """Whole numbers; an unknown one adds nothing, as in SQL's sum over a window."""
+    values = np.asarray(values)
+    if values.dtype.kind in "iu":
+        return values.astype(np.int64)
+    return np.array([0 if v is None or v != v else int(v) for v in values.tolist()], np.int64)
+
+
 class RunningTotal:
     """State: the total so far. An unknown entry state is an amount to add."""
 
@@ -59,14 +67,14 @@ class RunningTotal:
         return 0
 
     def walk(self, state, columns):
-        totals = np.cumsum(columns[self.value].astype(np.int64)) + state
+        totals = np.cumsum(_whole(columns[self.value])) + state
         return int(totals[-1]), {self.out: pa.array(totals, pa.int64())}
 
     def unknown(self):
         return 0
 
     def walk_unknown(self, effect, columns):
-        return effect + int(columns[self.value].astype(np.int64).sum())
+        return effect + int(_whole(columns[self.value]).sum())
 
     def apply(self, effect, state):
         return state + effect

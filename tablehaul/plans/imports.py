@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timezone
+from threading import Lock
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from tablehaul.operators import ledger as finished_items
 from tablehaul.operators.restore import restore
 from tablehaul.operators.targets import classify, detect_database, largest_first, name_contains
 from tablehaul.plans.events import EventLog
+from tablehaul.sources.dump_reader import read_schemas
 from tablehaul.sources.inventory import FOLDER_DEPTH, HEADER_LINES, header_lines, list_dumps, require_dumps
 
 
@@ -59,18 +62,30 @@ def run_import(
 ) -> DataFrame:
     """Restore every planned dump to ``target_dir/database/table``; returns the events.
 
-    An item is recorded in the ledger after its table is committed. A dump with
+    A dump's tables go to folders named after its ``CREATE TABLE`` statements. A table that two
+    items hold is restored from the first to come; the other fails, so nothing is mixed.
+    An item is recorded in the ledger after its tables are committed. A dump with
     fewer parts than the cluster has cores has its lines dealt out first.
     """
     log = EventLog(overlap)
+    claimed: dict[str, str] = {}
+    claiming = Lock()
     cores = spark.sparkContext.defaultParallelism
 
     def one(task) -> None:
         with log.item(task.database, task.file_name, task.path, task.size_bytes):
             zipped = task.file_name.lower().endswith(".gz")
             spread = cores if zipped and task.parts < cores else None
-            target = f"{target_dir.rstrip('/')}/{task.database}/{_table_name(task.file_name, task.database)}"
-            restore(spark, task.path, target, spread=spread)
+            names = sorted(read_schemas(spark, task.path))
+            if not names:
+                raise ValueError(f"no CREATE TABLE in {task.path}")
+            targets = [f"{target_dir.rstrip('/')}/{task.database}/{_folder(name)}" for name in names]
+            with claiming:
+                for target in targets:
+                    if claimed.setdefault(target, task.path) != task.path:
+                        raise ValueError(f"{target} is restored from {claimed[target]} in this run")
+            for name, target in zip(names, targets):
+                restore(spark, task.path, target, table=name, spread=spread)
             if ledger is not None:
                 now = datetime.now(timezone.utc)
                 row = [(task.database, task.relative_path, task.file_name, task.size_bytes, now)]
@@ -81,12 +96,6 @@ def run_import(
     return log.events(spark)
 
 
-def _table_name(file_name: str, database: str) -> str:
-    stem = file_name
-    for ending in (".gz", ".sql"):
-        if stem.lower().endswith(ending):
-            stem = stem[: -len(ending)]
-    for mark in ("__", "."):
-        if stem.startswith(database + mark):
-            return stem[len(database) + len(mark) :]
-    return stem
+def _folder(table: str) -> str:
+    """A table's name as one folder name."""
+    return quote(table, safe=" !#$&'()+,;=@[]{}~") if "/" in table or table.startswith((".", "_")) else table

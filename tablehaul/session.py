@@ -11,8 +11,8 @@ from pyspark.sql import SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where neither the setting nor a checkpoint folder exists (a bare local
-    test session) is a folder made and set here.
+    Only in a local session, where all tasks see this machine's disk, is a folder made and
+    set here if neither the setting nor a checkpoint folder exists; a cluster must name one.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
@@ -22,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if current:
         return current.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     made = tempfile.mkdtemp(prefix="tablehaul-")
     spark.sparkContext.setCheckpointDir(made)
     return made

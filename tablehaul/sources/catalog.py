@@ -54,7 +54,8 @@ def parquet_tables(spark: SparkSession, folder: str, database: str) -> DataFrame
         spark.read.schema(T.StructType())
         .option("recursiveFileLookup", "true")
         .parquet(folder)
-        .select(F.col("_metadata.file_path").alias("path"))
+        # metadata paths are URLs, the listing's are not
+        .select(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("path"))
         .groupBy(name.alias("table_name"))
         .agg(F.count("*").alias("rows"))
     )

@@ -57,7 +57,9 @@ TYPE_NOTE = "spark-type "
 _QUOTED = r"'(?:[^'\\]|\\.|'')*'"
 _CREATE = re.compile(
     r"CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?"
-    r"(?:`(?:[^`]|``)+`\.)?(?:`(?P<quoted>(?:[^`]|``)+)`|(?P<bare>[\w$]+))\s*\((?P<body>.*)\)[^)]*;?",
+    r"(?:`(?:[^`]|``)+`\.)?(?:`(?P<quoted>(?:[^`]|``)+)`|(?P<bare>[\w$]+))\s*\("
+    # up to the parenthesis that closes the list of columns; options and partitions follow it
+    rf"(?P<body>(?:[^()'`]|{_QUOTED}|`(?:[^`]|``)*`|\((?:[^()']|{_QUOTED}|\((?:[^()']|{_QUOTED})*\))*\))*+)\)",
     re.I | re.S,
 )
 _ITEM = re.compile(rf"(?:[^,()'`]|{_QUOTED}|`(?:[^`]|``)*`|\((?:[^()']|{_QUOTED}|\([^()]*\))*\))+", re.S)

@@ -41,13 +41,14 @@ OTHER_LINE = (
     r"(?:int|integer|text|blob|char|binary|float|double|decimal|numeric|date|datetime|timestamp|time|year|json|enum|set|bit|bool|boolean)\b)"
 )
 
-# Lines of a file's head searched for its DDL; the second try allows for the
-# widest table a server takes.
-HEAD_LINES = (200, 5000)
+# A line of another kind after which a row statement begins all the same.
+HIDDEN_ROWS = r"(?i)^(?!\s*(?:--|#)).*(?:;|\*/)\s*(?:INSERT|REPLACE)\b"
+CREATE_TEXT = r"(?ims)^[ \t]*CREATE\s+TABLE\b.*?(?:;[ \t\r]*$|\z)"
 
 PROBLEM_LINE = "unrecognised line"
 PROBLEM_BYTES = "not UTF-8 text, or a raw NUL"
 PROBLEM_TUPLES = "text between the rows was not understood"
+PROBLEM_TABLE = "a row statement of a table that the dump does not create"
 PROBLEM_COLUMNS = "column list differs from the table"
 PROBLEM_FIELDS = "number of fields differs from the table"
 PROBLEM_VALUE = "a value does not fit column"
@@ -58,53 +59,58 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"))
 
 
-def read_schema(spark: SparkSession, path: str) -> tuple[str, T.StructType]:
-    """Table name and schema from the ``CREATE TABLE`` of a dump.
+def read_schemas(spark: SparkSession, path: str | list[str]) -> dict[str, T.StructType]:
+    """Schemas of all tables a dump creates, wherever in its files the statements stand.
 
-    A folder written by this package keeps its DDL in the first part; a single
-    file keeps it ahead of its rows. Either way only the head of one file is
-    pulled, with row statements cut down to a marker, so the driver sees DDL only.
+    Statements end with a semicolon at a line's end, so the files are split there and
+    only the text of ``CREATE TABLE`` statements reaches the driver.
+    """
+    statements = spark.read.option("recursiveFileLookup", "true").text(path, lineSep=";\n")
+    found = F.regexp_extract_all("value", F.lit(CREATE_TEXT), F.lit(0))
+    texts = statements.where(F.col("value").rlike(r"(?i)CREATE\s+TABLE")).select(F.explode(found).alias("text")).distinct()
+    schemas: dict[str, T.StructType] = {}
+    for row in texts.collect():
+        name, schema = parse_create_table(row.text)
+        if schemas.setdefault(name, schema) != schema:
+            raise ValueError(f"{path} creates table {name} in two ways")
+    return schemas
+
+
+def read_schema(spark: SparkSession, path: str | list[str], table: str | None = None) -> tuple[str, T.StructType]:
+    """Name and schema of the table a dump creates; ``table`` picks one of several."""
+    schemas = read_schemas(spark, path)
+    if table is not None:
+        if table not in schemas:
+            raise ValueError(f"no CREATE TABLE for {table} in {path}")
+        return table, schemas[table]
+    if not schemas:
+        raise ValueError(f"no CREATE TABLE in {path}")
+    if len(schemas) > 1:
+        raise ValueError(f"{path} holds several tables, name one of them: {', '.join(sorted(schemas))}")
+    return next(iter(schemas.items()))
+
+
+def _kinds(lines: DataFrame, table: str | None, others: tuple[str, ...] | None) -> DataFrame:
+    """Lines that carry rows, or that are not understood, cut into row texts.
+
+    ``others`` are tables whose row statements are passed over; those of any further table are a problem.
     """
-    for first in _first_files(spark, path):
-        lines = spark.read.text(first.path).where(F.col("_metadata.file_block_start") == 0)
-        short = F.when(F.col("value").rlike(INSERT_HEAD), "INSERT").otherwise(F.col("value"))
-        for lines_read in HEAD_LINES:
-            head = [r.value for r in lines.select(short.alias("value")).limit(lines_read).collect()]
-            text = _create_text(head)
-            if text:
-                return parse_create_table(text)
-    raise ValueError(f"no CREATE TABLE in {path}")
-
-
-def _first_files(spark: SparkSession, path: str):
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path").orderBy("path").limit(1).collect()
-
-
-def _create_text(lines: list[str]) -> str | None:
-    kept: list[str] = []
-    for line in lines:
-        if kept or line.strip().upper().startswith("CREATE TABLE"):
-            kept.append(line)
-            if line.rstrip().endswith(";"):
-                return "\n".join(kept)
-    return None
-
-
-def _kinds(lines: DataFrame, table: str | None) -> DataFrame:
-    """Lines that carry rows, or that are not understood, cut into row texts."""
     value = F.col("value")
     kind = (
         F.when(value.rlike(INSERT_HEAD), "insert")
         .when(value.rlike(TUPLE_LINE), "tuple")
-        .when(value.rlike(OTHER_LINE), "other")
+        .when(value.rlike(OTHER_LINE) & ~value.rlike(HIDDEN_ROWS), "other")
         .otherwise("unknown")
     )
     marked = lines.withColumn("_kind", kind).where(F.col("_kind") != "other")
     insert = F.col("_kind") == "insert"
     if table is not None:
         name = F.replace(F.btrim(F.regexp_extract(value, INSERT_HEAD, 1), F.lit("`")), F.lit("``"), F.lit("`"))
-        marked = marked.where(~insert | (name == table))
+        if others is None:
+            marked = marked.where(~insert | (name == table))
+        elif others:
+            marked = marked.where(~insert | ~name.isin(*others))
+        marked = marked.withColumn("_kind", F.when(insert & (name != table), "foreign").otherwise(F.col("_kind")))
     # an absent column list extracts as the empty string
     columns = F.when(insert, F.regexp_extract(value, INSERT_HEAD, 2)).otherwise("")
     body = F.when(insert, F.regexp_replace(value, INSERT_HEAD, "")).otherwise(value)
@@ -132,22 +138,23 @@ def _fields(text: Column, schema: T.StructType) -> Column:
     return F.when(plain, F.split(inner, ",")).otherwise(exact)
 
 
-def _cut(lines: DataFrame, schema: T.StructType, table: str | None) -> DataFrame:
+def _cut(lines: DataFrame, schema: T.StructType, table: str | None, others: tuple[str, ...] | None) -> DataFrame:
     """Each line's rows, and what is wrong with the line, if anything.
 
     A line is sound when its rows and the separators between them account for
     every character.
     """
-    rows = _kinds(lines, table).withColumn("_rows", F.regexp_extract_all("_body", F.lit(TUPLE), F.lit(0)))
+    rows = _kinds(lines, table, others).withColumn("_rows", F.regexp_extract_all("_body", F.lit(TUPLE), F.lit(0)))
     whole = F.concat(F.array_join("_rows", ","), F.lit(";")) == F.col("_body")
     rest = F.regexp_replace("_body", TUPLE, "").rlike(r"^[\s,]*;?\s*$")
     problem = (
         F.when(~F.is_valid_utf8("value") | F.contains("value", F.lit("\0")), PROBLEM_BYTES)
         .when(F.col("_kind") == "unknown", PROBLEM_LINE)
+        .when(F.col("_kind") == "foreign", PROBLEM_TABLE)
         .when(~whole & ~rest, PROBLEM_TUPLES)
         .when(~_lists_all(F.col("_columns"), schema), PROBLEM_COLUMNS)
     )
-    if table is not None:
+    if others is None or others:
         problem = F.when(F.col("_kind") == "tuple", PROBLEM_LINE).otherwise(problem)
     return rows.withColumn("_problem", problem)
 
@@ -171,16 +178,18 @@ def _lost(i: int, field: T.StructField) -> Column:
     return failed.cast(field.dataType)
 
 
-def parse_lines(lines: DataFrame, schema: T.StructType, table: str | None = None) -> DataFrame:
+def parse_lines(
+    lines: DataFrame, schema: T.StructType, table: str | None = None, others: tuple[str, ...] | None = ()
+) -> DataFrame:
     """Typed rows; the job fails at the first line, row or value not understood.
 
     Rows and their tokens are each cut inside a generator, so no later filter or
     projection can repeat the cutting, and lines and field counts are checked
     even when only some columns are read.
 
-    ``table`` picks one table out of a dump that holds several; a row whose
-    statement began on an earlier line then cannot be told apart and fails.
-    Works on a stream as on a batch.
+    With ``table``, rows of the tables named in ``others`` (None: of any other) are passed over and rows of any
+    further table fail; where there are others, a row whose statement began on an
+    earlier line cannot be told apart and fails. Works on a stream as on a batch.
     """
     width = len(schema.fields)
 
@@ -191,7 +200,7 @@ def parse_lines(lines: DataFrame, schema: T.StructType, table: str | None = None
     sound = F.when(F.col("_problem").isNull(), F.col("_rows")).otherwise(
         _fail(F.col("_problem"), F.col("value")).cast("array<string>")
     )
-    texts = _cut(lines, schema, table).select("_file", F.explode(sound).alias("_text"))
+    texts = _cut(lines, schema, table, others).select("_file", F.explode(sound).alias("_text"))
     tokens = F.transform(F.array(_fields(F.col("_text"), schema)), full)
     rows = texts.select("_file", F.explode(tokens).alias("_fields"))
     columns = []
@@ -201,9 +210,11 @@ def parse_lines(lines: DataFrame, schema: T.StructType, table: str | None = None
     return rows.select(*columns)
 
 
-def find_problems(lines: DataFrame, schema: T.StructType, table: str | None = None) -> DataFrame:
+def find_problems(
+    lines: DataFrame, schema: T.StructType, table: str | None = None, others: tuple[str, ...] | None = ()
+) -> DataFrame:
     """What ``parse_lines`` would fail on: ``file``, ``problem`` and ``text``, one row each."""
-    cut = _cut(lines, schema, table)
+    cut = _cut(lines, schema, table, others)
     bad_lines = cut.where(F.col("_problem").isNotNull()).select(
         F.col("_file").alias("file"), F.col("_problem").alias("problem"), F.col("value").alias("text")
     )
@@ -227,15 +238,20 @@ def read_dump(
     table: str | None = None,
     spread: int | None = None,
 ) -> DataFrame:
-    """Rows of a dump; fails rather than lose or misread any.
+    """Rows of a dump's only table, or of ``table``; fails rather than lose, misread or mix any.
 
     A gzip file is read by one task. Where a dump has fewer files than the
     cluster has cores, ``spread`` deals its lines out to that many tasks before
     they are parsed, since parsing costs far more than moving the text.
     """
+    others: tuple[str, ...] | None = ()
     if schema is None:
-        _, schema = read_schema(spark, path if isinstance(path, str) else path[0])
+        schemas = read_schemas(spark, path)
+        table, schema = read_schema(spark, path, table) if table or len(schemas) != 1 else next(iter(schemas.items()))
+        others = tuple(sorted(set(schemas) - {table}))
+    elif table is not None:
+        others = None
     lines = read_lines(spark, path)
     if spread:
         lines = lines.repartition(spread)
-    return parse_lines(lines, schema, table)
+    return parse_lines(lines, schema, table, others)

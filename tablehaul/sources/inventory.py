@@ -123,27 +123,33 @@ def header_lines(items: DataFrame, max_lines: int = HEADER_LINES) -> DataFrame:
     return dealt.mapInArrow(heads, "path string, line_no int, line string")
 
 
+#: Of a line, what the header rules can be about.
+KEPT_BYTES = 1 << 16
+
+
 def _head(uri: str, max_lines: int) -> list[str]:
     """First lines of a file; a file that cannot be read on ends its header there."""
     lines: list[str] = []
-    pending = b""
+    held, more = b"", True  # the line being read, of which no rule needs more than its start
     try:
         with open_stream(uri) as stream:
-            while len(lines) < max_lines:
+            while more and len(lines) < max_lines:
                 block = stream.read(16384)
-                pending += block
-                *whole, pending = pending.split(b"\n")
-                if not block and pending:
-                    whole, pending = [*whole, pending], b""
+                more = bool(block)
+                *whole, rest = block.split(b"\n")
+                if whole:
+                    whole[0] = held + whole[0]
+                    held = b""
+                held = (held + rest)[:KEPT_BYTES] if len(held) < KEPT_BYTES else held
+                if not more and held:
+                    whole, held = [held], b""
                 for raw in whole:
-                    lines.append(raw.rstrip(b"\r").decode("utf-8"))
+                    lines.append(raw[:KEPT_BYTES].rstrip(b"\r").decode("utf-8", "strict" if len(raw) < KEPT_BYTES else "ignore"))
                     # rows follow: nothing past this line can name the database
                     if lines[-1].lstrip().startswith(tuple(HEADER_ENDS)):
                         return lines[:max_lines]
-                if pending.lstrip().startswith(b"INSERT INTO"):
+                if held.lstrip().startswith(b"INSERT INTO"):
                     return [*lines, "INSERT INTO"][:max_lines]
-                if not block:
-                    break
     except (OSError, UnicodeDecodeError):
         pass  # the restore itself will fail on such a file and say why
     return lines[:max_lines]

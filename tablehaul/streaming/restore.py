@@ -16,11 +16,13 @@ def restore_new_files(
     target: str,
     checkpoint: str,
     files_per_batch: int = 1000,
+    table: str | None = None,
 ) -> None:
     """Restore files not seen before into Parquet at ``target``, then stop.
 
     Each file is restored once, across any number of calls with one checkpoint.
-    A damaged file fails its batch, which leaves nothing behind.
+    A damaged file fails its batch, which leaves nothing behind; with ``table``, so does a
+    row statement of another table.
     """
     lines = (
         spark.readStream.option("recursiveFileLookup", "true")
@@ -29,7 +31,7 @@ def restore_new_files(
         .select("value", F.col("_metadata.file_path").alias("_file"))
     )
     query = (
-        parse_lines(lines, schema)
+        parse_lines(lines, schema, table)
         .writeStream.format("parquet")
         .option("path", target)
         .option("checkpointLocation", checkpoint)
