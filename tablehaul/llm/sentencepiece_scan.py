@@ -48,6 +48,7 @@ class Pieces:
     bytes_id: list[int]
     text: list[bytes]  # of each id, as decoding sees it
     longest: int
+    heads: frozenset[str]  # all beginnings of pieces
     agreed: dict[tuple[str, str], bool] = field(default_factory=dict)
     words: dict[str, bytes] = field(default_factory=dict)
 
@@ -74,7 +75,7 @@ class Pieces:
         key = (left, right)
         known = self.agreed.get(key)
         if known is None:
-            if len(self.agreed) > 4 * REMEMBERED:
+            if len(self.agreed) > REMEMBERED:
                 self.agreed.clear()
             known = self.agreed[key] = self.merged(left + right) == [left, right]
         return known
@@ -94,17 +95,17 @@ class Pieces:
         """The pieces of the one path of weight 0 through a text, after the piece ``before``."""
         n = len(text)
         last: list[str | None] = [before] + [None] * n
-        ids, longest, agree = self.ids, self.longest, self.agree
-        reached = [True] + [False] * n
-        for p in range(1, n + 1):
-            for size in range(min(p, longest), 0, -1):
-                piece = text[p - size : p]
-                if not reached[p - size] or (size > 1 and piece not in ids):
-                    continue
-                left = last[p - size]
-                if left is None or agree(left, piece):
-                    last[p], reached[p] = piece, True
-                    break
+        ids, heads, agree = self.ids, self.heads, self.agree
+        for start in range(n):
+            left = last[start]
+            if start and left is None:
+                continue  # no path of weight 0 has a boundary here
+            for end in range(start + 1, min(n, start + self.longest) + 1):
+                piece = text[start:end]
+                if end > start + 1 and piece not in heads:
+                    break  # nothing longer can be a piece
+                if last[end] is None and (end == start + 1 or piece in ids) and (left is None or agree(left, piece)):
+                    last[end] = piece
         out = []
         while n:
             out.append(last[n])
@@ -145,7 +146,8 @@ def load(path: str) -> Pieces:
         else:
             ids[piece], score[piece] = i, sp.get_score(i)
             text.append(piece.encode())
-    return Pieces(ids, score, byte_ids, text, max(map(len, ids)))
+    heads = frozenset(p[:i] for p in ids for i in range(1, len(p) + 1))
+    return Pieces(ids, score, byte_ids, text, max(map(len, ids)), heads)
 
 
 def escaped(text: str) -> str:
