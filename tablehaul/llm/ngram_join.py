@@ -8,9 +8,9 @@ in the buckets of equal bands:
    n texts makes n pairs), and pairs are verified on full n-gram sets;
 2. while buckets hold many pairs of texts in different classes and that number falls, each such
    bucket gets another star around another of its texts, so a group of near copies
-   grows together in a few turns; the pairs that are then left are all verified,
-   unless their distances to the bucket's first centre rule a link out (Jaccard distance is a
-   metric: texts can't be closer than those distances differ);
+   grows together in a few turns; buckets that still hold several classes are then compared
+   whole, in blocks inside tasks, and only which texts belong together leaves a task (buckets of
+   the same texts count as one);
 3. linked texts form classes (connected components), and within a class every pair of
    texts is compared on full n-gram sets to count links; large classes are cut into
    blocks, so no task holds more than two blocks, and only counts leave a task.
@@ -36,9 +36,9 @@ from tablehaul.llm.shared import SLICE_BYTES, id_and_text, map_slices, slices, s
 from tablehaul.llm.words import Words, mix, signed
 
 N, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.9999, 5
-#: A block of a class: texts, and bytes of text.
-BLOCK_TEXTS, BLOCK_BYTES = 256, 8 << 20
-#: Undecided pairs for each text in an undecided bucket below which all of them are verified.
+#: A block of a class or bucket: texts, and bytes of text.
+BLOCK_TEXTS, BLOCK_BYTES = 1024, 8 << 20
+#: Undecided pairs for each text in an undecided bucket below which buckets are compared whole.
 SPARSE = 2
 
 
@@ -137,67 +137,97 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     return map_slices(joined, work, "a long, b long, sim double", size_column="both")
 
 
+def _linked(group: pa.Table, n: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For a pair of blocks: which texts are in the first and which in the second, and a matrix of links."""
+    own = group.column("own").to_numpy().astype(bool)
+    inside = bool(group.column("same")[0].as_py())
+    hashes, row = grams(Words(group.column("text").combine_chunks()), n)
+    order = np.lexsort((hashes, row))
+    new = np.append(True, (row[order][1:] != row[order][:-1]) | (hashes[order][1:] != hashes[order][:-1]))
+    row, hashes = row[order][new], hashes[order][new]
+    size = np.bincount(row, minlength=len(own))
+    _, code = np.unique(hashes, return_inverse=True)
+    order = np.argsort(code, kind="stable")
+    row, code = row[order], code[order]
+    first, second = np.flatnonzero(own), np.flatnonzero(own if inside else ~own)
+    shared = np.zeros((len(first), len(second)), np.float32)
+    width = 4096
+    # The n-grams are taken in strips, so the matrices stay small whatever the blocks hold.
+    for low in range(0, int(code[-1]) + 1, width):
+        part = slice(np.searchsorted(code, low), np.searchsorted(code, low + width))
+        strip = np.zeros((len(own), width), np.float32)
+        strip[row[part], code[part] - low] = 1
+        shared += strip[first] @ strip[second].T
+    linked = shared >= threshold * (size[first][:, None] + size[second][None, :] - shared) - 1e-6
+    if inside:
+        np.fill_diagonal(linked, False)
+    return first, second, linked
+
+
 def _block_counts(n: int, threshold: float):
     """For a pair of blocks of a class: each text's links into the other block."""
 
     def run(group: pa.Table) -> pa.Table:
-        node = group.column("node").to_numpy()
-        own = group.column("own").to_numpy().astype(bool)  # in the first block
-        inside = bool(group.column("same")[0].as_py())
-        copies = group.column("copies").to_numpy()
-        hashes, row = grams(Words(group.column("text").combine_chunks()), n)
-        order = np.lexsort((hashes, row))
-        new = np.append(True, (row[order][1:] != row[order][:-1]) | (hashes[order][1:] != hashes[order][:-1]))
-        row, hashes = row[order][new], hashes[order][new]
-        size = np.bincount(row, minlength=len(node))
-        _, code = np.unique(hashes, return_inverse=True)
-        order = np.argsort(code, kind="stable")
-        row, code = row[order], code[order]
-        first = own
-        second = own if inside else ~own
-        shared = np.zeros((int(first.sum()), int(second.sum())), np.float32)
-        width = 4096
-        # The n-grams are taken in strips, so the matrices stay small whatever the class holds.
-        for low in range(0, int(code[-1]) + 1, width):
-            part = slice(np.searchsorted(code, low), np.searchsorted(code, low + width))
-            strip = np.zeros((len(node), width), np.float32)
-            strip[row[part], code[part] - low] = 1
-            shared += strip[first] @ strip[second].T
-        linked = shared >= threshold * (size[first][:, None] + size[second][None, :] - shared) - 1e-6
-        if inside:
-            np.fill_diagonal(linked, False)
-            found = [(node[first], linked @ copies[second])]
-        else:
-            found = [(node[first], linked @ copies[second]), (node[second], copies[first] @ linked)]
+        node, copies = group.column("node").to_numpy(), group.column("copies").to_numpy()
+        first, second, linked = _linked(group, n, threshold)
+        found = [(node[first], linked @ copies[second])]
+        if not group.column("same")[0].as_py():
+            found.append((node[second], copies[first] @ linked))
         return pa.table({"node": np.concatenate([f[0] for f in found]), "links": np.concatenate([f[1] for f in found]).astype(np.int64)})
 
     return run
 
 
-def _count_links(nodes: DataFrame, texts: DataFrame, n: int, threshold: float) -> DataFrame:
-    """nodes: node, component, copies. Returns node, links: documents with other texts at the threshold or above."""
-    sized = nodes.join(texts.select("node", F.octet_length("text").alias("size")), "node")
-    blocks = sized.groupBy("component").agg(
+def _block_classes(n: int, threshold: float):
+    """For a pair of blocks of a bucket: a pair of texts for each text that links, through others or
+    not, to one of another class; as many rows as texts at most."""
+
+    def run(group: pa.Table) -> pa.Table:
+        node, component = group.column("node").to_numpy(), group.column("component").to_numpy()
+        first, second, linked = _linked(group, n, threshold)
+        label, none = np.arange(len(node)), len(node)
+        while True:
+            before = label.copy()
+            if linked.size:
+                for one, other, link in ((first, second, linked), (second, first, linked.T)):
+                    label[one] = np.minimum(label[one], np.where(link, label[other][None, :], none).min(axis=1))
+            if np.array_equal(before, label):
+                break
+        new = component != component[label]
+        a, b = node[new], node[label[new]]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return run
+
+
+def _in_block_pairs(members: DataFrame, texts: DataFrame, key: str):
+    """Groups of texts: every pair of blocks of each key. members: node, the key and other columns."""
+    sized = members.select("node", key).join(texts.select("node", F.octet_length("text").alias("size")), "node")
+    blocks = sized.groupBy(key).agg(
         F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("size") / BLOCK_BYTES)).cast("int").alias("blocks")
     )
-    placed = nodes.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    spread = placed.select("node", "component", "copies", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    placed = members.join(blocks, key).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    spread = placed.select(*members.columns, "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     spread = spread.select(
-        "node", "component", "copies",
-        F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+        *members.columns, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
         (F.col("block") <= F.col("other")).alias("own"), (F.col("block") == F.col("other")).alias("same"),
     )
-    grouped = spread.join(texts, "node").groupBy("component", "i", "j")
-    return grouped.applyInArrow(_block_counts(n, threshold), "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
+    return spread.join(texts, "node").groupBy(key, "i", "j")
+
+
+def _count_links(nodes: DataFrame, texts: DataFrame, n: int, threshold: float) -> DataFrame:
+    """nodes: node, component, copies. Returns node, links: documents with other texts at the threshold or above."""
+    counted = _in_block_pairs(nodes, texts, "component").applyInArrow(_block_counts(n, threshold), "node long, links long")
+    return counted.groupBy("node").agg(F.sum("links").alias("links"))
 
 
-def _undecided(members: DataFrame, away: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of texts of a bucket in different classes that their distances to its centre leave possible."""
-    known = members.join(away, ["centre", "node"], "left").withColumn("far", F.coalesce("far", F.lit(0.0)))
-    x, y = (known.select("bucket", *(F.col(c).alias(f"{c}{s}") for c in ("node", "component", "far"))) for s in "xy")
-    near = F.abs(F.col("farx") - F.col("fary")) <= 1 - threshold + 1e-9
-    pairs = x.join(y, "bucket").where((F.col("nodex") < F.col("nodey")) & (F.col("componentx") != F.col("componenty")) & near)
-    return pairs.select(F.col("nodex").alias("a"), F.col("nodey").alias("b")).distinct()
+def _compare_whole(members: DataFrame, texts: DataFrame, n: int, threshold: float) -> DataFrame:
+    """members: bucket, node, component. Returns a, b: texts of different classes that belong together."""
+    bits = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"bits{i}") for i in range(2)]
+    sets = members.groupBy("bucket").agg(F.count("*").alias("n"), *bits)
+    one = sets.groupBy("n", "bits0", "bits1").agg(F.min("bucket").alias("bucket"))
+    members = stored(members.join(one, "bucket", "left_semi").select("bucket", "node", "component"), "ngram-whole")
+    return _in_block_pairs(members, texts, "bucket").applyInArrow(_block_classes(n, threshold), "a long, b long").distinct()
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS) -> DataFrame:
@@ -225,7 +255,6 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     links = measured.where(F.col("sim") >= threshold).select("a", "b")
     found = stored(components(links), "ngram-components")
 
-    away = measured.select(F.col("a").alias("centre"), F.col("b").alias("node"), (1 - F.col("sim")).alias("far"))
     open_pairs = None
     turn = 0
     while True:
@@ -240,14 +269,14 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
         members_open = stored(classed.join(split.select("bucket"), "bucket", "left_semi"), "ngram-open")
         last = now <= SPARSE * texts_open or (open_pairs is not None and now > 0.8 * open_pairs)
         if last:
-            cross = _undecided(members_open, away, threshold)
+            more = stored(_compare_whole(members_open, texts, n, threshold), "ngram-more")
         else:
             # Another star: each bucket's texts against one text of the bucket, another in each turn.
             turn += 1
             centres = members_open.groupBy("bucket").agg(F.min_by(F.struct("node", "component"), F.xxhash64("node", F.lit(turn))).alias("c"))
             cross = members_open.join(centres.select("bucket", "c.*").toDF("bucket", "a", "ca"), "bucket").where("component <> ca")
             cross = cross.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        more = stored(_verified(stored(cross, "ngram-cross"), texts, n).where(F.col("sim") >= threshold).select("a", "b"), "ngram-more")
+            more = stored(_verified(stored(cross, "ngram-cross"), texts, n).where(F.col("sim") >= threshold).select("a", "b"), "ngram-more")
         if not more.isEmpty():
             links = stored(links.unionByName(more), "ngram-links")
             found = stored(components(links), "ngram-components")
