@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -366,3 +367,41 @@ def test_pipeline_stages_keep_columns(spark):
     last = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
     assert len(last) == docs.count() and all(r.exact for r in last)
     assert sum(labels.get(r.doc_id) == 0 for r in last) <= 2
+
+
+def test_blocks_of_a_bucket_give_the_classes_of_all_pairs():
+    draw = random.Random(5)
+    base = [[f"w{draw.randrange(400)}" for _ in range(80)] for _ in range(3)]
+    texts = []
+    for i in range(60):
+        words = list(base[i % 3])
+        for _ in range(draw.randrange(3)):
+            words[draw.randrange(80)] = f"x{draw.randrange(10**6)}"
+        texts.append(" ".join(words))
+    component = [7 if i in (0, 3) else 100 + i for i in range(60)]
+    linked = {
+        (i, j) for i, j in combinations(range(60), 2)
+        if ngram_join.jaccard(pa.array([texts[i]]), pa.array([texts[j]]), 5)[0] >= 0.8
+    }
+
+    def classes(pairs):
+        label = list(range(60))
+        for _ in range(60):
+            for i, j in pairs:
+                label[i] = label[j] = min(label[i], label[j])
+        return label
+
+    known = [(0, 3)]
+    for same in (True, False):
+        own = [same or i % 2 == 0 for i in range(60)]
+        group = pa.table({"node": list(range(60)), "component": component, "own": own, "same": [same] * 60, "text": texts})
+        out = ngram_join._block_classes(5, 0.8)(group)
+        found = list(zip(out["a"].to_pylist(), out["b"].to_pylist()))
+        assert len(found) <= 60
+        wanted = [p for p in linked if same or own[p[0]] != own[p[1]]]
+        assert classes(found + known) == classes(wanted + known)
+
+    apart = pa.table({"node": [1, 2], "component": [1, 2], "own": [True, True], "same": [False, False], "text": ["a b", "a b"]})
+    assert ngram_join._block_classes(5, 0.8)(apart).num_rows == 0
+    counted = ngram_join._block_counts(5, 0.8)(apart.append_column("copies", pa.array(np.ones(2, np.int64))))
+    assert counted["links"].to_pylist() == [0, 0]
