@@ -19,11 +19,13 @@ a blank; repeated rows are encoded each; an empty table gives no rows.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,15 +47,19 @@ class Pieces:
 
     ids: dict[str, int]  # of ordinary pieces
     score: dict[str, float]
-    bytes_id: list[int]
-    text: list[bytes]  # of each id, as decoding sees it
+    packed_id: dict[str, bytes]  # as 32-bit numbers
+    packed_byte: list[bytes]
+    text: pa.Array  # bytes of each id, as decoding sees it
     longest: int
-    heads: frozenset[str]  # all beginnings of pieces
-    agreed: dict[tuple[str, str], bool] = field(default_factory=dict)
+    heads: dict[str, bool]  # all beginnings of pieces, and whether they are pieces themselves
+    pairs: frozenset[str]  # all neighbours inside pieces; between any others stands a boundary
+    agreed: dict[str, dict[str, bool]] = field(default_factory=dict)  # by left piece, then right
+    n_agreed: int = 0
     words: dict[str, bytes] = field(default_factory=dict)
+    runs: dict[str, bytes] = field(default_factory=dict)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"agreed": {}, "words": {}}
+        return self.__dict__ | {"agreed": {}, "n_agreed": 0, "words": {}, "runs": {}}
 
     def merged(self, text: str) -> list[str]:
         """What the model makes of a short text: best-scored neighbours join first, the leftmost of equals."""
@@ -72,50 +78,74 @@ class Pieces:
 
     def agree(self, left: str, right: str) -> bool:
         """Whether the model, given both joined, makes just these two."""
-        key = (left, right)
-        known = self.agreed.get(key)
+        after = self.agreed.get(left)
+        known = None if after is None else after.get(right)
         if known is None:
-            if len(self.agreed) > REMEMBERED:
+            if self.n_agreed > REMEMBERED:
                 self.agreed.clear()
-            known = self.agreed[key] = self.merged(left + right) == [left, right]
+                self.n_agreed = 0
+            both = left + right
+            known = both not in self.score and self.merged(both) == [left, right]
+            self.agreed.setdefault(left, {})[right] = known
+            self.n_agreed += 1
         return known
 
     def packed(self, parts: Iterable[str]) -> bytes:
         """Ids of pieces as 32-bit numbers; a character that is no piece becomes its bytes."""
-        out: list[int] = []
-        for p in parts:
-            i = self.ids.get(p)
-            if i is not None:
-                out.append(i)
-            else:
-                out.extend(self.bytes_id[b] for b in p.encode())
-        return np.array(out, np.int32).tobytes()
+        known, single = self.packed_id.get, self.packed_byte
+        return b"".join([known(p) or b"".join([single[b] for b in p.encode()]) for p in parts])
+
+    def starting(self, text: str, at: int) -> list[str]:
+        """The pieces that begin at a place of a text, the longest last."""
+        head, out = self.heads.get, [text[at]]
+        for end in range(at + 2, min(len(text), at + self.longest) + 1):
+            piece = text[at:end]
+            whole = head(piece)
+            if whole is None:
+                break  # nothing longer can be a piece
+            if whole:
+                out.append(piece)
+        return out
 
     def path(self, text: str, before: str | None = None) -> list[str]:
-        """The pieces of the one path of weight 0 through a text, after the piece ``before``."""
-        n = len(text)
-        last: list[str | None] = [before] + [None] * n
-        ids, heads, agree = self.ids, self.heads, self.agree
-        for start in range(n):
-            left = last[start]
-            if start and left is None:
-                continue  # no path of weight 0 has a boundary here
-            for end in range(start + 1, min(n, start + self.longest) + 1):
-                piece = text[start:end]
-                if end > start + 1 and piece not in heads:
-                    break  # nothing longer can be a piece
-                if last[end] is None and (end == start + 1 or piece in ids) and (left is None or agree(left, piece)):
-                    last[end] = piece
-        out = []
-        while n:
-            out.append(last[n])
-            n -= len(last[n])
-        return out[::-1]
+        """The pieces of the one path of weight 0 through a text, after the piece ``before``.
+
+        Searched depth first, long pieces first. No two paths of weight 0 lead to one place,
+        so no place is entered twice.
+        """
+        out: list[str] = []
+        untried: list[list[str]] = []
+        at, left = 0, before
+        while at < len(text):
+            if len(untried) == len(out):
+                untried.append(self.starting(text, at))
+            options = untried[-1]
+            while options:
+                piece = options.pop()
+                if left is None or self.agree(left, piece):
+                    out.append(piece)
+                    at, left = at + len(piece), piece
+                    break
+            else:
+                untried.pop()
+                at -= len(out.pop())
+                left = out[-1] if out else before
+        return out
+
+    def run(self, text: str) -> bytes:
+        if len(self.runs) > REMEMBERED:
+            self.runs.clear()
+        found = self.runs[text] = self.packed(self.path(text))
+        return found
 
     def word(self, text: str) -> bytes:
+        """Cut where no piece holds both neighbours: every path has a boundary there."""
         if len(self.words) > REMEMBERED:
             self.words.clear()
-        found = self.words[text] = self.packed(self.path(text))
+        pairs, known = self.pairs, self.runs.get
+        cuts = [0, *[i for i in range(1, len(text)) if text[i - 1 : i + 1] not in pairs], len(text)]
+        parts = [text[i:j] for i, j in zip(cuts, cuts[1:])]
+        found = self.words[text] = b"".join([known(p) or self.run(p) for p in parts])
         return found
 
     def encode(self, text: str) -> np.ndarray:
@@ -123,8 +153,9 @@ class Pieces:
         known, word = self.words.get, self.word
         return np.frombuffer(b"".join([known(w) or word(w) for w in _WORD.findall(text)]), np.int32)
 
-    def decode(self, ids: Iterable[int]) -> str:
-        raw = b"".join(map(self.text.__getitem__, ids))
+    def decode(self, ids: np.ndarray | list[int]) -> str:
+        taken = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), self.text.take(pa.array(ids, pa.int32())))
+        raw = pc.binary_join(taken, b"")[0].as_py()
         return raw.decode("utf-8", "replace").replace(BLANK, " ")[1:]
 
 
@@ -146,8 +177,13 @@ def load(path: str) -> Pieces:
         else:
             ids[piece], score[piece] = i, sp.get_score(i)
             text.append(piece.encode())
-    heads = frozenset(p[:i] for p in ids for i in range(1, len(p) + 1))
-    return Pieces(ids, score, byte_ids, text, max(map(len, ids)), heads)
+    heads = {p[:i]: False for p in ids for i in range(1, len(p))} | dict.fromkeys(ids, True)
+    pairs = frozenset(p[i : i + 2] for p in ids for i in range(len(p) - 1))
+    number = lambda i: i.to_bytes(4, sys.byteorder)
+    return Pieces(
+        ids, score, {p: number(i) for p, i in ids.items()}, [number(i) for i in byte_ids],
+        pa.array(text, pa.binary()), max(map(len, ids)), heads, pairs,
+    )
 
 
 def escaped(text: str) -> str:
@@ -334,7 +370,7 @@ def round_trip(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col
     def same(ids: pa.Array, text: pa.Array) -> pa.Array:
         out, flat, at = [], ids.flatten().to_numpy(), ids.offsets.to_numpy() - ids.offsets[0].as_py()
         for i, t in enumerate(text.to_pylist()):
-            out.append(pieces.decode(flat[at[i] : at[i + 1]].tolist()) == t.replace(BLANK, " "))
+            out.append(pieces.decode(flat[at[i] : at[i + 1]]) == t.replace(BLANK, " "))
         return pa.array(out)
 
     rows = encode(docs, pieces, id_col, text_col, chunk)
