@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import re
 import sys
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -34,8 +34,8 @@ from tablehaul.llm.shared import slices, stored, table
 BLANK = "▁"
 #: Characters of a chunk. Documents up to this length are one chunk.
 CHUNK = 1 << 15
-#: Words a task remembers; it forgets all when there are more.
-REMEMBERED = 1 << 19
+#: Words, parts of words and pairs of pieces a task remembers of each; it forgets all when there are more.
+REMEMBERED = 1 << 18
 DEFAULT_MODEL = "piece_bpe_32k.model"
 
 _WORD = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
@@ -290,17 +290,28 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 
 def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
     """doc_id, text, ids (array of int) for every row. A chunk is at least two longest pieces long."""
+    small, giant, chunk = _by_length(docs, pieces, id_col, text_col, chunk)
+    return _whole(small, pieces, "text string", lambda texts, _: texts).unionByName(_giants(giant, pieces, chunk))
+
+
+def _by_length(docs: DataFrame, pieces: Pieces, id_col: str, text_col: str, chunk: int) -> tuple[DataFrame, DataFrame, int]:
+    """doc_id and text of the ordinary documents, of the giant ones, and the length of chunks."""
     chunk = max(chunk, 2 * pieces.longest)
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
-    small = rows.where(F.length("text") < chunk)
+    return rows.where(F.length("text") < chunk), rows.where(F.length("text") >= chunk), chunk
+
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _whole(rows: DataFrame, pieces: Pieces, column: str, of: Callable[[list[str], list[np.ndarray]], list]) -> DataFrame:
+    """doc_id, ids and one more column, made of texts and ids."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
-                ids = [pieces.encode(escaped(t)) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _lists(ids)], names=["doc_id", "text", "ids"])
+                texts = part.column(1).to_pylist()
+                ids = [pieces.encode(escaped(t)) for t in texts]
+                yield pa.RecordBatch.from_arrays([part.column(0), _lists(ids), pa.array(of(texts, ids))], names=["doc_id", "ids", column.split()[0]])
 
-    return small.mapInArrow(whole, "doc_id long, text string, ids array<int>").unionByName(_giants(rows.where(F.length("text") >= chunk), pieces, chunk))
+    return rows.mapInArrow(work, f"doc_id long, ids array<int>, {column}")
 
 
 def _giants(rows: DataFrame, pieces: Pieces, chunk: int) -> DataFrame:
@@ -366,15 +377,17 @@ def decode(encoded: DataFrame, pieces: Pieces, ids_col: str = "ids") -> DataFram
 def round_trip(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
     """doc_id, n_tokens, ids, exact (whether decoding gives the text back) for every row."""
 
+    def same(texts: list[str], ids: list[np.ndarray]) -> list[bool]:
+        return [pieces.decode(i) == t.replace(BLANK, " ") for t, i in zip(texts, ids)]
+
     @F.arrow_udf("boolean")
-    def same(ids: pa.Array, text: pa.Array) -> pa.Array:
-        out, flat, at = [], ids.flatten().to_numpy(), ids.offsets.to_numpy() - ids.offsets[0].as_py()
-        for i, t in enumerate(text.to_pylist()):
-            out.append(pieces.decode(flat[at[i] : at[i + 1]]) == t.replace(BLANK, " "))
-        return pa.array(out)
-
-    rows = encode(docs, pieces, id_col, text_col, chunk)
-    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", same("ids", "text").alias("exact"))
+    def giant_same(ids: pa.Array, text: pa.Array) -> pa.Array:
+        return pa.array([same([t.as_py()], [i.values.to_numpy()])[0] for t, i in zip(text, ids)], pa.bool_())
+
+    small, giant, chunk = _by_length(docs, pieces, id_col, text_col, chunk)
+    giants = _giants(giant, pieces, chunk).select("doc_id", "ids", giant_same("ids", "text").alias("exact"))
+    rows = _whole(small, pieces, "exact boolean", same).unionByName(giants)
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "exact")
 
 
 def default_model() -> str:
