@@ -231,9 +231,9 @@ def _compare_whole(members: DataFrame, texts: DataFrame, n: int, threshold: floa
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS) -> DataFrame:
-    """doc_id, node, class_id, n_copies, n_links for every row.
+    """doc_id, node, component, class_id, n_copies, n_links for every row.
 
-    class_id: the smallest id of the class. n_copies: other rows of equal words. n_links: rows of other texts
+    component: the class itself, its smallest node; unrelated classes may share a class_id. class_id: the smallest id of the class. n_copies: other rows of equal words. n_links: rows of other texts
     at the threshold or above, copies counted.
     """
     described = stored(describe(docs, id_col, text_col, n, bands_for(threshold, recall, rows), rows), "ngram-bands")
@@ -287,13 +287,13 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     nodes = stored(found.join(classes, "node").select("node", "component", "first", "copies"), "ngram-nodes")
     counts = _count_links(nodes.select("node", "component", "copies"), texts, n, threshold)
     first = nodes.groupBy("component").agg(F.min("first").alias("class_id"))
-    linked = nodes.select("node", "component").join(first, "component").join(counts, "node").select("node", "class_id", F.col("links").alias("n_links"))
+    linked = nodes.select("node", "component").join(first, "component").join(counts, "node").select("node", "component", "class_id", F.col("links").alias("n_links"))
     whole = classes.join(linked, "node", "left").select(
-        "node", F.coalesce("class_id", "first").alias("class_id"), (F.col("copies") - 1).alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links")
+        "node", F.coalesce("component", "node").alias("component"), F.coalesce("class_id", "first").alias("class_id"), (F.col("copies") - 1).alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links")
     )
     out = described.select("doc_id", "node").join(stored(whole, "ngram-result"), "node", "left")
     return out.select(
-        "doc_id", "node", F.coalesce("class_id", "doc_id").alias("class_id"),
+        "doc_id", "node", "component", F.coalesce("class_id", "doc_id").alias("class_id"),
         F.coalesce("n_copies", F.lit(0)).alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
     )
 
@@ -302,10 +302,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """``docs`` with one row of each class: one of its smallest id. All columns stay; rows without words stay."""
     rows = stored(link(docs, id_col, text_col), "ngram-links")
     # One (id, text) stands for a class; how many rows it has is known before rows are moved.
-    own = rows.where("node IS NOT NULL AND doc_id <=> class_id").groupBy("doc_id", "node").agg(F.count("*").alias("_rows"))
-    one = own.groupBy("doc_id").agg(F.min("node").alias("node"))
-    chosen = own.join(one.withColumnRenamed("doc_id", "_id"), (F.col("doc_id").eqNullSafe(F.col("_id"))) & (own["node"] == one["node"]), "left_semi")
-    chosen = stored(chosen.select(F.col("doc_id").alias("_doc"), F.col("node").alias("_node"), "_rows"), "ngram-kept")
+    own = rows.where("node IS NOT NULL AND doc_id <=> class_id").groupBy("component", "doc_id", "node").agg(F.count("*").alias("_rows"))
+    # Per class and not per id: a null or repeated id may be the smallest of several classes.
+    chosen = own.groupBy("component").agg(F.min(F.struct("doc_id", "node", "_rows")).alias("one"))
+    chosen = stored(chosen.select(F.col("one.doc_id").alias("_doc"), F.col("one.node").alias("_node"), F.col("one._rows").alias("_rows")), "ngram-kept")
     digest = F.arrow_udf(_digest, "long")
     marked = docs.withColumn("_key", digest(F.coalesce(docs[text_col].cast("string"), F.lit(""))))
     held = marked.join(chosen, marked[id_col].cast("long").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_node")))
@@ -324,4 +324,4 @@ def _digest(texts: pa.Array) -> pa.Array:
 
 
 def op2_ngram_jaccard_join(spark, sf_dir):
-    return link(table(spark, sf_dir, "documents")).drop("node")
+    return link(table(spark, sf_dir, "documents")).drop("node", "component")

@@ -147,6 +147,14 @@ def test_keep_one_keeps_columns_and_one_of_each(texts):
     assert ngram_join.keep_one(texts.limit(0)).count() == 0
 
 
+def test_keep_one_takes_classes_apart_that_share_an_id(spark):
+    given = ["red fox runs over a hill", "blue whale swims in the sea", "ten men sat at one table", "rain fell all night on roofs", "nine old keys fit no lock"]
+    ids = [None, None, 5, 5, None]
+    rows = [*zip(ids, given), *zip(ids, given), (8, given[0])]
+    kept = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(map(tuple, kept)) == Counter([(8, given[0]), (None, given[1]), (5, given[2]), (5, given[3]), (None, given[4])])
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     got = {r.node: r.component for r in components.components(links).collect()}
