@@ -67,9 +67,11 @@ def directory(docs: DataFrame, limit: int = SHARD_BYTES, id_col: str = "doc_id",
             return found.unionByName(over.select(F.col("cell").alias("prefix"), F.lit(HASH_BITS).alias("depth")))
 
 
-def shard_documents(docs: DataFrame, limit: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard_documents(docs: DataFrame, limit: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """doc_id, shard (the prefix bits as text), depth, part, n_bytes, oversized for every row.
 
+    With ``carry`` also row, all the document's columns as a struct.
+
     ``part`` is 0 but where one hash alone is over the limit: there the rows are numbered
     by size and cut so that each part fits.
     """
@@ -78,6 +80,7 @@ def shard_documents(docs: DataFrame, limit: int = SHARD_BYTES, id_col: str = "do
         docs[id_col].cast("long").alias("doc_id"),
         id_hash(docs[id_col]).alias("hash"),
         F.coalesce(F.octet_length(docs[text_col]), F.lit(0)).cast("long").alias("n_bytes"),
+        *([F.struct("*").alias("row")] if carry else []),
     )
     # Each depth in use (61 at most) gives one equality to join on.
     depths = sorted(row.depth for row in leaves.select("depth").distinct().collect()) or [0]
@@ -88,8 +91,9 @@ def shard_documents(docs: DataFrame, limit: int = SHARD_BYTES, id_col: str = "do
     cut = _parts(placed.where(F.col("depth") == HASH_BITS), limit)
     bits = F.expr("CASE WHEN depth = 0 THEN '' ELSE lpad(bin(prefix), depth, '0') END")
     return whole.unionByName(cut).select(
-        "doc_id", bits.alias("shard"), F.col("depth").cast("int").alias("depth"), "part", "n_bytes", (F.col("n_bytes") > limit).alias("oversized")
-    )
+        "doc_id", bits.alias("shard"), F.col("depth").cast("int").alias("depth"), "part", "n_bytes", (F.col("n_bytes") > limit).alias("oversized"),
+        *(["row"] if carry else []),
+    )
 
 
 def _parts(heavy: DataFrame, limit: int) -> DataFrame:
@@ -110,11 +114,11 @@ def _parts(heavy: DataFrame, limit: int) -> DataFrame:
     return numbered.withColumn("part", part.cast("long")).drop("slot")
 
 
-def write_shards(docs: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    """Files of each shard in a folder of its own. Ids must be unique: the join is by id."""
-    at = placed.select(F.col("doc_id").alias("_id"), F.concat_ws("-", F.concat(F.lit("s"), "shard"), "part").alias("_shard"))
-    joined = docs.join(at, docs[id_col] == at["_id"]).drop("_id")
-    joined.repartition("_shard").write.partitionBy("_shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, limit: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Every row, in files of its shard in a folder of its own. Rows carry their columns, so null and repeated ids are written as given."""
+    placed = shard_documents(docs, limit, id_col, text_col, carry=True)
+    at = F.concat_ws("-", F.concat(F.lit("s"), "shard"), "part").alias("_shard")
+    placed.select("row.*", at).repartition("_shard").write.partitionBy("_shard").parquet(path)
 
 
 def op5_extendible_shards(spark, sf_dir):

@@ -224,6 +224,17 @@ def test_one_id_over_the_limit_and_odd_rows(spark, texts):
     assert sharding.shard_documents(texts.limit(0)).count() == 0
 
 
+def test_shards_are_written_with_every_row_once(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    rows = [(None, f"nobody's {i}", i) for i in range(40)] + [(7, "x" * 100, i) for i in range(60)] + [(i, f"text {i}", 0) for i in range(100, 150)]
+    df = spark.createDataFrame([*rows, (8, None, 1), (7, "x" * 100, 0)], "doc_id long, text string, n long")
+    sharding.write_shards(df, str(tmp_path / "out"), 1000)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert Counter(map(tuple, back.select(*df.columns).collect())) == Counter(map(tuple, df.collect()))
+    assert back.groupBy("_shard").agg(F.sum(F.length("text")).alias("n")).agg(F.max("n")).first()[0] <= 1000
+
+
 # 6
 
 
