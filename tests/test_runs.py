@@ -5,6 +5,7 @@ import math
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -334,6 +335,28 @@ def test_stream_rates_drop_samples_older_than_state(spark, work):
     assert got == {1: 0.0, 2: 1.0, 4: 0.25 * 2 + 0.75 * 1}
 
 
+def test_stream_rates_cut_a_batch_and_count_what_is_late(spark, work):
+    schema = "event_id bigint, worker bigint, t_s double, bytes_current bigint"
+    rows = [(i, w, i * 0.25, i * i * 40_000) for i in range(400) for w in (1, None)] + [(i, 2, i * 0.5, i << 20) for i in range(5)]
+    halves = [[r for r in rows if r[0] < 150], [r for r in rows if r[0] >= 150] + [(900, 1, 3.0, 5), (901, 3, None, 5), (902, None, 0.0, 5)]]
+    counts = []
+    for half in halves:
+        df = spark.createDataFrame(half, schema)
+        df.write.mode("append").parquet(work + "/in")
+        stream = spark.readStream.schema(df.schema).parquet(work + "/in")
+        counts.append(rates.smoothed_rates(stream, work + "/out", work + "/c"))
+    late = spark.read.schema(rates.LATE).parquet(work + "/out-late").collect()
+    assert counts == [0, 3] and sorted(r.event_id for r in late) == [900, 901, 902]
+    got = {(r.event_id, r.worker): r for r in spark.read.schema(rates.OUTPUT).parquet(work + "/out").collect()}
+    assert len(got) == len(rows)
+    for worker in (1, 2, None):
+        mine = [r for r in rows if r[1] == worker]
+        columns = {"t_s": np.array([r[2] for r in mine]), "bytes_current": np.array([r[3] for r in mine])}
+        _, want = sequence.SmoothedRate().walk(None, columns)
+        for r, rate, elapsed in zip(mine, want["rate"].to_pylist(), want["elapsed_s"].to_pylist()):
+            assert got[r[0], worker].rate == pytest.approx(rate, rel=1e-9) and got[r[0], worker].elapsed_s == elapsed
+
+
 def test_stream_throughput_drops_late_events(spark, work):
     def feed(rows):
         df = spark.createDataFrame(rows, "ts string, kind string, size_bytes bigint").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
