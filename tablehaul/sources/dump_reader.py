@@ -1,14 +1,17 @@
 """Dump text (plain or gzip) to typed rows.
 
 Everything from the text scan to the typed columns is narrow: no shuffle, no
-Python. A plain file splits by lines, since newlines inside values are escaped;
+Python (which only gathers the DDL). A plain file splits by lines, since newlines inside values are escaped;
 a gzip file is one task, which is why the writer makes many parts per table.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,7 +46,11 @@ OTHER_LINE = (
 
 # A line of another kind after which a row statement begins all the same.
 HIDDEN_ROWS = r"(?i)^(?!\s*(?:--|#)).*(?:;|\*/)\s*(?:INSERT|REPLACE)\b"
-CREATE_TEXT = r"(?ims)^[ \t]*CREATE\s+TABLE\b.*?(?:;[ \t\r]*$|\z)"
+# A line that begins (or may begin) a CREATE TABLE statement, one that ends a statement, one with which rows begin.
+CREATE_LINE = r"(?i)^[ \t]*CREATE(?:\s*$|\s+TABLE\b)"
+END_LINE = re.compile(rb";[ \t\r]*$")
+ROWS_LINE = r"(?i)^\s*(?:INSERT|REPLACE)\s+(?:IGNORE\s+)?INTO\b"
+ROWS_MARK = b"INSERT INTO"
 
 PROBLEM_LINE = "unrecognised line"
 PROBLEM_BYTES = "not UTF-8 text, or a raw NUL"
@@ -59,18 +66,102 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"))
 
 
+def _gather(wanted: set[tuple[str, int]] | None = None):
+    """The lines of each ``CREATE TABLE`` statement as one text. A statement that is open at its split's end comes
+    with the file and where the next split starts; with ``wanted`` only what continues such statements is gathered, from
+    the start of those splits. Nothing but the open statement is held.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = parts = None  # the split being read, lines of its open statement
+
+        def row(still_open: bool) -> dict:
+            file, start, length, size = at
+            text = "\n".join(parts)
+            if still_open or wanted:
+                return {"text": text, "open": still_open, "file": file, "start": start, "length": length, "size": size}
+            return {"text": text, "open": False, "file": None, "start": None, "length": None, "size": None}
+
+        def out(rows: list[dict]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist(rows, schema=shape)
+
+        whole = [(n, pa.int64()) for n in ("start", "length", "size")]
+        shape = pa.schema([("text", pa.string()), ("open", pa.bool_()), ("file", pa.string()), *whole])
+        for batch in batches:
+            begins = pc.match_substring_regex(batch.column(0), CREATE_LINE)
+            if parts is None and not wanted and not pc.any(begins).as_py():
+                continue
+            rows = []
+            splits = zip(*(batch.column(i).to_pylist() for i in range(1, 5)))
+            for value, begin, split in zip(batch.column(0), begins.to_pylist(), splits):
+                if split != at:
+                    if parts is not None:
+                        rows.append(row(True))
+                    at, parts = split, [] if wanted and split[:2] in wanted else None
+                if parts is None:
+                    if wanted or not begin:
+                        continue
+                    parts = []
+                line = value.as_py()
+                rows_begin = line == ROWS_MARK
+                if not rows_begin:
+                    parts.append(line.decode("utf-8", "replace"))
+                if rows_begin or END_LINE.search(line):
+                    rows.append(row(False))
+                    parts = None
+            if rows:
+                yield out(rows)
+        if parts is not None:
+            yield out([row(True)])
+
+    return run
+
+
+def _create_texts(spark: SparkSession, path: str | list[str]) -> list[str]:
+    """Texts of the ``CREATE TABLE`` statements, read by lines; files split as they do when rows are read."""
+    lines = spark.read.option("recursiveFileLookup", "true").text(path)
+    value = F.when(F.col("value").rlike(ROWS_LINE), ROWS_MARK.decode()).otherwise(F.col("value"))
+    places = ("file_path", "file_block_start", "file_block_length", "file_size")
+    lines = lines.select(value.cast("binary").alias("value"), *(F.col(f"_metadata.{c}") for c in places))
+    shape = "text string, open boolean, file string, start long, length long, size long"
+    texts, cut = [], {}
+
+    def place(text: str, row) -> None:
+        following = row.start + row.length if row.open else None
+        if following is not None and following < row.size:
+            cut[row.file, following] = (text, row.length, row.size)
+        else:
+            texts.append(text)
+
+    for row in lines.mapInArrow(_gather(), shape).distinct().collect():
+        place(row.text, row)
+    # Statements over the end of a split go on in the next that has a line of its own.
+    while cut:
+        waiting, cut = cut, {}
+        near = lines.where(F.col("file_path").isin(sorted({file for file, _ in waiting})))
+        found = {(row.file, row.start): row for row in near.mapInArrow(_gather(set(waiting)), shape).collect()}
+        for (file, start), (text, length, size) in waiting.items():
+            row = found.get((file, start))
+            if row is not None:
+                place(f"{text}\n{row.text}", row)
+            elif start + length < size:
+                cut[file, start + length] = (text, length, size)
+            else:
+                texts.append(text)
+    return texts
+
+
 def read_schemas(spark: SparkSession, path: str | list[str]) -> dict[str, T.StructType]:
     """Schemas of all tables a dump creates, wherever in its files the statements stand.
 
-    Statements end with a semicolon at a line's end, so the files are split there and
-    only the text of ``CREATE TABLE`` statements reaches the driver.
+    Only the text of ``CREATE TABLE`` statements reaches the driver, and no record is longer than a line.
     """
-    statements = spark.read.option("recursiveFileLookup", "true").text(path, lineSep=";\n")
-    found = F.regexp_extract_all("value", F.lit(CREATE_TEXT), F.lit(0))
-    texts = statements.where(F.col("value").rlike(r"(?i)CREATE\s+TABLE")).select(F.explode(found).alias("text")).distinct()
     schemas: dict[str, T.StructType] = {}
-    for row in texts.collect():
-        name, schema = parse_create_table(row.text)
+    for text in _create_texts(spark, path):
+        begin = re.search(r"(?im)^[ \t]*CREATE\s+TABLE\b", text)
+        if begin is None:
+            continue
+        name, schema = parse_create_table(text[begin.start() :])
         if schemas.setdefault(name, schema) != schema:
             raise ValueError(f"{path} creates table {name} in two ways")
     return schemas

@@ -40,6 +40,25 @@ def test_each_row_goes_to_its_own_table(spark, work):
         read_dump(spark, path)
 
 
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+@pytest.mark.parametrize("split", ["64", "1000", "134217728"])
+def test_schemas_are_read_by_lines_wherever_files_split(spark, work, end, split):
+    limits = {"mapreduce.input.linerecordreader.line.maxlength": "2000", "spark.sql.files.maxPartitionBytes": split, "spark.sql.files.openCostInBytes": "1"}
+    wide = "".join(f"  `c{i}` INT COMMENT 'a; b',\n" for i in range(40)) + f"  `d` TEXT COMMENT '{'x' * 300}',\n"
+    text = TWO.replace("  `code` INT,\n", wide).format(more="-- filler\n" * 300).replace("(7,'q'),(8,'r')", "(1)")
+    path = f"{work}/two.sql"
+    with open(path, "w", newline="") as out:
+        out.write(text.replace("\n", end))
+    for name, value in limits.items():
+        spark.conf.set(name, value)
+    try:
+        schemas = read_schemas(spark, path)
+    finally:
+        for name in limits:
+            spark.conf.unset(name)
+    assert {name: schema.names for name, schema in schemas.items()} == {"a": ["id", "name"], "b": [*(f"c{i}" for i in range(40)), "d", "qty"]}
+
+
 def test_rows_of_an_unknown_table_are_a_problem(spark, work):
     path = write(work, "one.sql", "CREATE TABLE a (id INT);\nINSERT INTO a VALUES (1);\nINSERT INTO c VALUES (2);\n")
     assert [r.problem for r in quarantine(spark, path).collect()] == ["a row statement of a table that the dump does not create"]
