@@ -15,6 +15,7 @@ from tablehaul.llm import (
     quality_rules,
     sentencepiece_scan,
     sharding,
+    simhash,
     substring_dedup,
     warc,
 )
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         substring_dedup.op8_seed_extend_dedup,
         sentencepiece_scan.op9_sentencepiece_scan,
         quality_rules.op10_quality_rules,
+        simhash.op13_segment_popcount_simhash,
     )
 }
 
