@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tablehaul.llm import (
     decontamination,
     language,
+    merkle,
     ngram_join,
     pii,
     pu_quality,
@@ -33,8 +34,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         substring_dedup.op8_seed_extend_dedup,
         sentencepiece_scan.op9_sentencepiece_scan,
         quality_rules.op10_quality_rules,
+        merkle.op11_nested_merkle_manifest,
         simhash.op13_segment_popcount_simhash,
     )
 }
 
-ORACLES: dict[str, str] = {"op5_extendible_shards": sharding.oracle(), "op7_normalised_warc": warc.ORACLE}
+ORACLES: dict[str, str] = {"op5_extendible_shards": sharding.oracle(), "op7_normalised_warc": warc.ORACLE, "op11_nested_merkle_manifest": merkle.ORACLE}
