@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tablehaul.llm import (
+    alignment,
     decontamination,
     language,
     merkle,
@@ -35,6 +36,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         sentencepiece_scan.op9_sentencepiece_scan,
         quality_rules.op10_quality_rules,
         merkle.op11_nested_merkle_manifest,
+        alignment.op12_perfect_hash_alignment,
         simhash.op13_segment_popcount_simhash,
     )
 }

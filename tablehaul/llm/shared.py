@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -37,6 +39,11 @@ def id_remainder(id_column: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def worker_cache() -> dict:
+    """What a Python worker keeps from task to task. (Task code is shipped by value, so its own globals are new each time.)"""
+    return sys.modules.setdefault("_tablehaul_worker_cache", types.ModuleType("_tablehaul_worker_cache")).__dict__
+
+
 def map_slices(
     df: DataFrame,
     work: Callable[[pa.RecordBatch], pa.RecordBatch | None],
