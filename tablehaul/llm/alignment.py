@@ -3,7 +3,8 @@
 Both encode a text; places where a token of each ends cut them into groups, and every token of one side of a
 group is linked with every one of the other. A pair of ids counts the documents that hold it linked.
 
-1. First pass: texts are aligned, and each task counts the documents of its distinct pairs.
+1. First pass: texts are aligned, and each task counts the documents of its distinct pairs. Texts fall into chunks at places
+   where both sides always have a boundary; a worker aligns equal chunks once.
 2. Distinct pairs are dealt into segments by their A id, and each segment gets a minimal perfect hash: bit
    arrays in levels, on each of which the keys that are alone at their place stay; a key's number is the rank of its
    bit. The keys lie in an array by number, so that a key of no segment is told from one that is there.
@@ -21,9 +22,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, pairwise
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -52,8 +55,14 @@ class Tokens:
         kept, key = worker_cache(), f"tokens {a_path} {b_path}"
         if key not in kept:
             kept[key] = cls(a_path, b_path)
+            kept[f"chunks {a_path} {b_path}"] = Chunks(kept[key])
         return kept[key]
 
+    @classmethod
+    def chunks(cls, a_path: str, b_path: str) -> Chunks:
+        cls.of(a_path, b_path)
+        return worker_cache()[f"chunks {a_path} {b_path}"]
+
     def __init__(self, a_path: str, b_path: str):
         import public_tokenizers
         import sentencepiece
@@ -69,6 +78,8 @@ class Tokens:
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         self.b_size = self.b.get_piece_size()
         self.a_text = pa.array([a_bytes.get(i, b"") for i in range(self.a_size)], pa.large_binary())
+        if any(x != "▁" and y == "▁" for i in range(self.b_size) for x, y in pairwise(self.b.id_to_piece(i))):
+            raise ValueError(f"{b_path} has pieces with a blank after another character")
         self.b_text = pa.array([_piece_bytes(self.b.id_to_piece(i), self.b.is_byte(i)) for i in range(self.b_size)], pa.large_binary())
         numbers = [str(i).encode() for i in range(max(self.a_size, self.b_size))]
         ends = ((b",", self.a_size), (b"|", self.a_size), (b",", self.b_size), (b";", self.b_size))
@@ -103,8 +114,8 @@ class Aligned:
     b: np.ndarray
     b_group: np.ndarray
 
-    def digests(self, tokens: Tokens) -> list[str]:
-        """The groups of each row as text, hashed; empty without tokens."""
+    def written(self, tokens: Tokens) -> list[bytes]:
+        """The groups of each row as text; empty without tokens."""
         last_a = np.append(self.a_group[1:] != self.a_group[:-1], True)[: len(self.a)]
         last_b = np.append(self.b_group[1:] != self.b_group[:-1], True)[: len(self.b)]
         code = np.concatenate([self.a + last_a * tokens.a_size, 2 * tokens.a_size + self.b + last_b * tokens.b_size])
@@ -114,7 +125,7 @@ class Aligned:
         at = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
         raw = memoryview(text.buffers()[2] or b"")
         ends = at[np.append(0, np.cumsum(self.n_a + self.n_b))]
-        return [hashlib.sha256(raw[s : e - 1]).hexdigest() if e > s else "" for s, e in zip(ends.tolist(), ends[1:].tolist())]
+        return [bytes(raw[s : e - 1]) if e > s else b"" for s, e in zip(ends.tolist(), ends[1:].tolist())]
 
     def pairs(self, b_size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Row, pair (a * b_size + b) and number of links, in pieces; a row's pair may be in several."""
@@ -161,22 +172,29 @@ def _same(raw: np.ndarray, sizes: np.ndarray, wanted: np.ndarray, wanted_sizes:
     ], bool)
 
 
-def align(tokens: Tokens, texts: list[str | None]) -> Aligned:
+def align(tokens: Tokens, texts: list[str | None], joined: bool = False) -> Aligned:
+    """joined: the texts may be encoded as one, with blanks between, as each begins and ends at a cut then."""
     rows = len(texts)
     given = np.flatnonzero([bool(t) for t in texts])
-    a_ids, b_ids = tokens.encode([texts[i] for i in given])
     wanted = [(" " + texts[i]).encode() for i in given]
     wanted_sizes = np.array([len(w) for w in wanted], np.int64)
+    row_end = np.cumsum(wanted_sizes)
     raw = np.frombuffer(b"".join(wanted), np.uint8)
+    joined = joined and len(given) > 0
+    step = JOINED if joined else 1
+    a_ids, b_ids = tokens.encode([" ".join([texts[i] for i in given[at : at + step]]) for at in range(0, len(given), step)])
     a, a_count, a_end, a_raw = _joined(tokens.a_text, a_ids)
     b, b_count, b_end, b_raw = _joined(tokens.b_text, b_ids)
-    last = lambda end, count: np.diff(np.append(0, np.append(0, end)[np.cumsum(count)]))
-    good = _same(a_raw, last(a_end, a_count), raw, wanted_sizes) & _same(b_raw, last(b_end, b_count), raw, wanted_sizes)
-    if not good.all():
-        kept = [texts[i] if ok else None for i, ok in zip(given, good)]
-        whole = align(tokens, kept) if len(given) else None
-        return _placed(whole, given, rows)
-    row_end = np.cumsum(wanted_sizes)
+    if joined:
+        if len(a_raw) != len(raw) or len(b_raw) != len(raw) or (a_raw != raw).any() or (b_raw != raw).any():
+            return align(tokens, texts)
+        a_count, b_count = (np.bincount(np.searchsorted(row_end, end), minlength=len(given)) for end in (a_end, b_end))
+    else:
+        last = lambda end, count: np.diff(np.append(0, np.append(0, end)[np.cumsum(count)]))
+        good = _same(a_raw, last(a_end, a_count), raw, wanted_sizes) & _same(b_raw, last(b_end, b_count), raw, wanted_sizes)
+        if not good.all():
+            kept = [texts[i] if ok else None for i, ok in zip(given, good)]
+            return _placed(align(tokens, kept) if len(given) else None, given, rows)
     ends_b = np.zeros(len(raw) + 1, bool)
     ends_b[b_end] = True
     cuts = a_end[ends_b[a_end]]
@@ -231,6 +249,118 @@ def by_row(align_pairs: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], wid
     return row, pair, links
 
 
+#: A place where both sides always have a boundary: a space between a character other than a space and one that isn't blank.
+#: A's pattern begins a token there, and none of B's pieces holds a blank after another character (checked on loading).
+_CUT = re.compile(r"(?<=[^ ]) (?=\S)")
+#: Characters that are cut into chunks at once; chunks a worker remembers, and the bytes of them.
+PIECE, REMEMBERED, REMEMBERED_BYTES = 1 << 20, 1 << 18, 32 << 20
+#: New chunks that are encoded as one text.
+JOINED = 256
+
+
+class Chunks:
+    """Alignments of the chunks between cuts, each made once as long as a worker remembers it."""
+
+    def __init__(self, tokens: Tokens):
+        self.tokens = tokens
+        self.forget()
+
+    def forget(self) -> None:
+        self.ids: dict[str, int] = {}
+        self.written: list[bytes] = []
+        self.bytes = 0
+        self.sums = np.zeros((0, 5), np.int64)  # tokens of A, of B, groups, links, 1 if all bytes are given back
+        self.first = np.zeros(1, np.int64)  # where each chunk's pairs begin
+        self.pair = np.zeros(0, np.int64)
+        self.links = np.zeros(0, np.int64)
+
+    def numbers(self, chunks: list[str]) -> np.ndarray:
+        if len(self.ids) > REMEMBERED or self.bytes > REMEMBERED_BYTES:
+            self.forget()
+        new = [c for c in dict.fromkeys(chunks) if c not in self.ids]
+        # Chunks at the ends of texts may have blanks there, and U+2581 is not given back: each of these by itself.
+        plain = [not (c[0].isspace() or c[-1].isspace() or "▁" in c) for c in new]
+        self._learn([c for c, p in zip(new, plain) if p], True)
+        self._learn([c for c, p in zip(new, plain) if not p], False)
+        return np.fromiter(map(self.ids.__getitem__, chunks), np.int64, len(chunks))
+
+    def _learn(self, new: list[str], joined: bool) -> None:
+        if new:
+            found = align(self.tokens, new, joined)
+            row, pair, links = by_row(found.pairs(self.tokens.b_size), self.tokens.a_size * self.tokens.b_size)
+            new_sums = np.column_stack([found.n_a, found.n_b, found.n_groups, found.n_links, found.n_a > 0])
+            self.sums = np.concatenate([self.sums, new_sums])
+            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(np.bincount(row, minlength=len(new)))])
+            self.pair, self.links = np.concatenate([self.pair, pair]), np.concatenate([self.links, links])
+            self.written += found.written(self.tokens)
+            self.bytes += sum(map(len, new))
+            self.ids.update(zip(new, range(len(self.ids), len(self.ids) + len(new))))
+
+
+@dataclass
+class Rows:
+    """What is asked for of a slice of texts; pairs are of the rows that hold tokens, each pair of a row once."""
+
+    sums: np.ndarray  # a row for each text: tokens of A, of B, groups, links
+    digests: list[str]
+    row: np.ndarray
+    pair: np.ndarray
+    links: np.ndarray
+
+
+def _pieces(texts: list[str | None]) -> Iterator[list[tuple[int, str]]]:
+    """Rows and parts of their texts, cut at cuts only, about ``PIECE`` characters at once."""
+    held: list[tuple[int, str]] = []
+    size = 0
+    for row, text in enumerate(texts):
+        at = 0
+        while text and at < len(text):
+            cut = _CUT.search(text, at + PIECE) if len(text) - at > PIECE else None
+            part = text[at : cut.start()] if cut else text[at:]
+            at = cut.end() if cut else len(text)
+            held.append((row, part))
+            size += len(part)
+            if size > PIECE:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def align_rows(chunks: Chunks, texts: list[str | None]) -> Rows:
+    rows = len(texts)
+    sums, bad = np.zeros((rows, 4), np.int64), np.zeros(rows, bool)
+    hashes: dict[int, Any] = {}
+
+    def pairs() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for held in _pieces(texts):
+            parts = [_CUT.split(part) for _, part in held]
+            number = chunks.numbers(list(chain.from_iterable(parts)))
+            count = np.array([len(p) for p in parts])
+            row = np.repeat(np.array([r for r, _ in held]), count)
+            found = chunks.sums[number]
+            for column in range(4):
+                sums[:, column] += np.bincount(row, found[:, column], minlength=rows).astype(np.int64)
+            bad[row[found[:, 4] == 0]] = True
+            ends = np.cumsum(count)
+            for (r, _), begin, end in zip(held, (ends - count).tolist(), ends.tolist()):
+                text = b";".join([chunks.written[n] for n in number[begin:end].tolist()])
+                if r in hashes:
+                    hashes[r].update(b";")
+                hashes.setdefault(r, hashlib.sha256()).update(text)
+            code, times = np.unique(row * np.int64(len(chunks.sums)) + number, return_counts=True)
+            own, one = code // len(chunks.sums), code % len(chunks.sums)
+            size = chunks.first[one + 1] - chunks.first[one]
+            at = np.repeat(chunks.first[one] - np.append(0, np.cumsum(size[:-1])), size) + np.arange(size.sum())
+            yield np.repeat(own, size), chunks.pair[at], chunks.links[at] * np.repeat(times, size)
+
+    row, pair, links = by_row(pairs(), chunks.tokens.a_size * chunks.tokens.b_size)
+    sums[bad] = 0
+    kept = ~bad[row]
+    digests = ["" if bad[r] or r not in hashes else hashes[r].hexdigest() for r in range(rows)]
+    return Rows(sums, digests, row[kept], pair[kept], links[kept])
+
+
 # Minimal perfect hashing
 
 _LEVELS, _ROOM = 32, 2.0
@@ -352,9 +482,8 @@ def pair_counts(docs: DataFrame, paths: tuple[str, str]) -> tuple[DataFrame, int
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tokens, part = Tokens.of(*paths), TaskContext.get().partitionId()
+        chunks, part = Tokens.chunks(*paths), TaskContext.get().partitionId()
         keys, totals = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        width = tokens.a_size * tokens.b_size
 
         def out() -> Iterator[pa.RecordBatch]:
             for at in range(0, len(keys), 1 << 16):
@@ -363,8 +492,7 @@ def pair_counts(docs: DataFrame, paths: tuple[str, str]) -> tuple[DataFrame, int
 
         for batch in batches:
             for piece in slices(batch, "text", SLICE):
-                _, pair, _ = by_row(align(tokens, piece.column(0).to_pylist()).pairs(tokens.b_size), width)
-                new, times = np.unique(pair, return_counts=True)
+                new, times = np.unique(align_rows(chunks, piece.column(0).to_pylist()).pair, return_counts=True)
                 keys, inverse = np.unique(np.concatenate([keys, new]), return_inverse=True)
                 totals = np.bincount(inverse, np.concatenate([totals, times]), minlength=len(keys)).astype(np.int64)
                 if len(keys) > HELD:
@@ -432,18 +560,16 @@ def _looked_up(docs: DataFrame, paths: tuple[str, str], counts: Counts) -> DataF
     sent = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, of = Tokens.of(*paths), sent.value
-        width = tokens.a_size * tokens.b_size
+        chunks, of = Tokens.chunks(*paths), sent.value
         for batch in batches:
             for piece in slices(batch, "text", SLICE):
-                found = align(tokens, piece.column(1).to_pylist())
-                row, pair, links = by_row(found.pairs(tokens.b_size), width)
-                _, count, top = of.look_up(pair)
+                found = align_rows(chunks, piece.column(1).to_pylist())
+                _, count, top = of.look_up(found.pair)
                 sums = [np.zeros(piece.num_rows, np.int64) for _ in range(2)]
-                np.add.at(sums[0], row[top], links[top])
-                np.add.at(sums[1], row, links * count)
-                columns = [found.n_a, found.n_b, found.n_groups, found.n_links, *sums]
-                yield pa.RecordBatch.from_arrays([piece.column(0), *map(pa.array, columns), pa.array(found.digests(tokens), pa.string())], schema=shape)
+                np.add.at(sums[0], found.row[top], found.links[top])
+                np.add.at(sums[1], found.row, found.links * count)
+                columns = [pa.array(c) for c in (*np.ascontiguousarray(found.sums.T), *sums)]
+                yield pa.RecordBatch.from_arrays([piece.column(0), *columns, pa.array(found.digests, pa.string())], schema=shape)
 
     names = [c.split()[0] for c in _RESULT.split(", ")]
     shape = pa.schema([(n, pa.string() if n == "groups_sha256" else pa.int64()) for n in names])

@@ -101,7 +101,7 @@ def brute_alignment(rows):
     )
 
 
-ODD = ["a▁b", "<|endoftext|> <unk> </s> <0x41>", "x" * 3000, "中文字符 ☃\x00 z", "  two  spaces  ", "\n\n\t", "ﬁ ½ Å", "é😀 ü\u200b", "a" * 5 + "\r\n" * 40]
+ODD = ["foo\n \nbar  baz\n\n qux \t x\x1c y \x85 z  ", " lead  two", "a \u3000b c\u00a0 d", "x\r\n y 's 't  's", "e\u0301 \u0301 a", "a▁b", "<|endoftext|> <unk> </s> <0x41>", "x" * 3000, "中文字符 ☃\x00 z", "  two  spaces  ", "\n\n\t", "ﬁ ½ Å", "é😀 ü\u200b", "a" * 5 + "\r\n" * 40]
 
 
 def test_alignment_against_brute_force(spark, docs, texts):
@@ -138,6 +138,25 @@ def test_a_group_of_many_tokens_is_paired_in_pieces(monkeypatch):
     assert Counter(dict(zip(pair.tolist(), links.tolist()))) == Counter(int(x) * 100 + int(y) for x in a for y in b)
 
 
+def test_chunks_and_pieces_give_what_whole_texts_give(docs, monkeypatch):
+    random.seed(6)
+    tokens = alignment.Tokens.of(*alignment.default_paths())
+    bits = ["the", " ", " ", "  ", "\n", "\t", "'s", "é", "中", "▁", "12", "\x1c", "\x85", "\u00a0", "x" * 9, "\u0301", "\x00", "."]
+    texts = ["".join(random.choices(bits, k=random.randint(0, 30))) for _ in range(3000)] + [r.text for r in docs.collect()] + [None, ""]
+    whole = alignment.align(tokens, texts)
+    rows = alignment.by_row(whole.pairs(tokens.b_size), tokens.a_size * tokens.b_size)
+    for piece, remembered in ((1 << 20, 1 << 18), (7, 50), (1, 1)):
+        monkeypatch.setattr(alignment, "PIECE", piece)
+        monkeypatch.setattr(alignment, "REMEMBERED", remembered)
+        found = alignment.align_rows(alignment.Chunks(tokens), texts)
+        assert found.sums.T.tolist() == [whole.n_a.tolist(), whole.n_b.tolist(), whole.n_groups.tolist(), whole.n_links.tolist()]
+        assert found.digests == [hashlib.sha256(w).hexdigest() if w else "" for w in whole.written(tokens)]
+        assert all((a == b).all() for a, b in zip(rows, (found.row, found.pair, found.links)))
+        texts, tokens = texts[:400], tokens
+        whole = alignment.align(tokens, texts)
+        rows = alignment.by_row(whole.pairs(tokens.b_size), tokens.a_size * tokens.b_size)
+
+
 def test_both_byte_level_libraries_agree():
     from tokenizers import Tokenizer
 
