@@ -8,8 +8,9 @@ path of weight 0, and it is the encoding. Words of ordinary documents are solved
 A giant document is cut into chunks anywhere, inside words too. A state at a cut is the last piece
 that ends at or before it. Each chunk yields a max-plus matrix (here of 0 and minus infinity, so a set
 of bits) from states at its beginning to states at its end, without knowing what stands before; the
-matrices of a document are folded in order to find the states that are really met; then every chunk
-is traced by itself between its two states. Only the small matrices of one document meet in a task.
+matrices of neighbours are combined, ``FAN`` at a time and by pairs, until a document has one; its states are then handed
+down the same tree, and every chunk is traced by itself between its two states. No more than ``FAN`` small
+matrices meet in a task.
 
 Defined results: null texts encode as empty, with no pieces; characters that are no piece become byte
 pieces; decoding gives the text back exactly, unless it holds U+2581 itself, which the model reads as
@@ -26,6 +27,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +38,12 @@ BLANK = "▁"
 CHUNK = 1 << 15
 #: Words, parts of words and pairs of pieces a task remembers of each; it forgets all when there are more.
 REMEMBERED = 1 << 18
+#: Matrices that are combined, or given their states, in one task.
+FAN = 64
+#: Characters of a word up to which merging, whose time grows with the square, is the quicker way to the same pieces.
+SHORT = 48
 DEFAULT_MODEL = "piece_bpe_32k.model"
+NEVER = float("-inf")
 
 _WORD = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
@@ -63,17 +70,20 @@ class Pieces:
 
     def merged(self, text: str) -> list[str]:
         """What the model makes of a short text: best-scored neighbours join first, the leftmost of equals."""
-        parts = list(text)
-        score = self.score
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                s = score.get(parts[i] + parts[i + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, i
-            if at < 0:
+        parts, score = list(text), self.score.get
+        of_pair = [score(a + b, NEVER) for a, b in zip(parts, parts[1:])]
+        while of_pair:
+            best = max(of_pair)
+            if best == NEVER:
                 break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            at = of_pair.index(best)
+            joined = parts[at] + parts.pop(at + 1)
+            parts[at] = joined
+            del of_pair[at]
+            if at:
+                of_pair[at - 1] = score(parts[at - 1] + joined, NEVER)
+            if at < len(of_pair):
+                of_pair[at] = score(joined + parts[at + 1], NEVER)
         return parts
 
     def agree(self, left: str, right: str) -> bool:
@@ -139,9 +149,13 @@ class Pieces:
         return found
 
     def word(self, text: str) -> bytes:
-        """Cut where no piece holds both neighbours: every path has a boundary there."""
+        """A short word is merged as the model merges it. A longer one is cut where no piece holds both neighbours, since
+        every path has a boundary there, and its parts are searched."""
         if len(self.words) > REMEMBERED:
             self.words.clear()
+        if len(text) <= SHORT:
+            found = self.words[text] = self.packed(self.merged(text))
+            return found
         pairs, known = self.pairs, self.runs.get
         cuts = [0, *[i for i in range(1, len(text)) if text[i - 1 : i + 1] not in pairs], len(text)]
         parts = [text[i:j] for i, j in zip(cuts, cuts[1:])]
@@ -253,14 +267,48 @@ def transfer(pieces: Pieces, left: str, body: str, first: bool) -> tuple[list[St
     return entries, [(state, mask) for state, mask in exits if state[0] < reach]
 
 
-def fold(matrices: list[tuple[list[State], list[tuple[State, int]]]]) -> list[tuple[State, State]]:
-    """Entry and exit of each chunk on the one path: a product from the left, then a trace from the right."""
-    met: list[set[State]] = [{(0, None)}]
+Matrix = tuple[list[State], list[tuple[State, int]]]
+
+
+def combine(left: Matrix, right: Matrix) -> Matrix:
+    """The matrix of two neighbouring parts as one: an exit is reached from an entry if some state between is on the way."""
+    (entries, middle), (starts, exits) = left, right
+    through = dict(middle)
+    reached = [through.get(s, 0) for s in starts]
+    out = []
+    for state, mask in exits:
+        total = 0
+        while mask:
+            low = mask & -mask
+            total |= reached[low.bit_length() - 1]
+            mask ^= low
+        if total:
+            out.append((state, total))
+    return entries, out
+
+
+def product(matrices: list[Matrix]) -> Matrix:
+    """All of a run of neighbours, by pairs."""
+    while len(matrices) > 1:
+        matrices = [combine(*pair) if len(pair) == 2 else pair[0] for pair in (matrices[i : i + 2] for i in range(0, len(matrices), 2))]
+    return matrices[0]
+
+
+def whole_path(matrix: Matrix) -> tuple[State, State]:
+    """Where the one path of a whole document begins and ends."""
+    entries, exits = matrix
+    first = entries.index((0, None))
+    return (0, None), next(s for s, mask in exits if s[0] == 0 and mask >> first & 1)
+
+
+def fold(matrices: list[Matrix], ends: tuple[State, State] | None = None) -> list[tuple[State, State]]:
+    """Entry and exit of each neighbour on the path between two states (by default a whole document's)."""
+    begin, end = ends or whole_path(product(matrices))
+    met: list[set[State]] = [{begin}]
     for entries, exits in matrices:
         alive = sum(1 << i for i, e in enumerate(entries) if e in met[-1])
         met.append({state for state, mask in exits if mask & alive})
     out: list[tuple[State, State]] = []
-    end = next(s for s in met[-1] if s[0] == 0)
     for k in range(len(matrices) - 1, -1, -1):
         entries, exits = matrices[k]
         mask = next(m for s, m in exits if s == end)
@@ -291,7 +339,13 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
     """doc_id, text, ids (array of int) for every row. A chunk is at least two longest pieces long."""
     small, giant, chunk = _by_length(docs, pieces, id_col, text_col, chunk)
-    return _whole(small, pieces, "text string", lambda texts, _: texts).unionByName(_giants(giant, pieces, chunk))
+    sent = _sent(docs, pieces)
+    return _whole(small, sent, "text string", lambda texts, _: texts).unionByName(_giants(giant, pieces, sent, chunk))
+
+
+def _sent(docs: DataFrame, pieces: Pieces) -> Broadcast:
+    """The model (its size is that of the model's file) for all tasks; a worker keeps it, and the words it knows, from task to task."""
+    return docs.sparkSession.sparkContext.broadcast(pieces)
 
 
 def _by_length(docs: DataFrame, pieces: Pieces, id_col: str, text_col: str, chunk: int) -> tuple[DataFrame, DataFrame, int]:
@@ -301,10 +355,11 @@ def _by_length(docs: DataFrame, pieces: Pieces, id_col: str, text_col: str, chun
     return rows.where(F.length("text") < chunk), rows.where(F.length("text") >= chunk), chunk
 
 
-def _whole(rows: DataFrame, pieces: Pieces, column: str, of: Callable[[list[str], list[np.ndarray]], list]) -> DataFrame:
+def _whole(rows: DataFrame, sent: Broadcast, column: str, of: Callable[[list[str], list[np.ndarray]], list]) -> DataFrame:
     """doc_id, ids and one more column, made of texts and ids."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = sent.value
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
                 texts = part.column(1).to_pylist()
@@ -314,7 +369,7 @@ def _whole(rows: DataFrame, pieces: Pieces, column: str, of: Callable[[list[str]
     return rows.mapInArrow(work, f"doc_id long, ids array<int>, {column}")
 
 
-def _giants(rows: DataFrame, pieces: Pieces, chunk: int) -> DataFrame:
+def _giants(rows: DataFrame, pieces: Pieces, sent: Broadcast, chunk: int) -> DataFrame:
     rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "giant-texts")
     reach = 2 * pieces.longest
 
@@ -333,29 +388,51 @@ def _giants(rows: DataFrame, pieces: Pieces, chunk: int) -> DataFrame:
         import pickle
 
         for batch in batches:
-            raw = [pickle.dumps(transfer(pieces, left, body, k == 0)) for k, left, body in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)))]
+            raw = [pickle.dumps(transfer(sent.value, left, body, k == 0)) for k, left, body in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(raw, pa.binary())], names=["row", "k", "matrix"])
 
-    def scan(group: pa.Table) -> pa.Table:
+    def multiply(group: pa.Table) -> pa.Table:
         import pickle
 
-        group = group.sort_by("k")
-        found = fold([pickle.loads(m) for m in group.column("matrix").to_pylist()])
-        columns = {"row": group.column("row"), "k": group.column("k")}
+        raw = pickle.dumps(product([pickle.loads(m) for m in group.sort_by("k").column("matrix").to_pylist()]))
+        return pa.table({"row": group.column("row")[:1], "k": pa.array([group.column("k")[0].as_py() // FAN]), "matrix": pa.array([raw], pa.binary())})
+
+    def placed_states(keys: dict[str, pa.ChunkedArray], found: list[tuple[State, State]]) -> pa.Table:
         for i, name in enumerate(("start", "end")):
-            columns[f"{name}_back"] = pa.array([f[i][0] for f in found], pa.int32())
-            columns[f"{name}_piece"] = pa.array([f[i][1] for f in found], pa.string())
-        return pa.table(columns)
+            keys[f"{name}_back"] = pa.array([f[i][0] for f in found], pa.int32())
+            keys[f"{name}_piece"] = pa.array([f[i][1] for f in found], pa.string())
+        return pa.table(keys)
+
+    def begin_and_end(group: pa.Table) -> pa.Table:
+        import pickle
+
+        return placed_states({"row": group.column("row"), "k": group.column("k")}, [whole_path(pickle.loads(m)) for m in group.column("matrix").to_pylist()])
 
-    states = chunks.mapInArrow(matrices, "row long, k long, matrix binary").groupBy("row").applyInArrow(
-        scan, "row long, k long, start_back int, start_piece string, end_back int, end_piece string"
-    )
+    def scan(own: pa.Table, above: pa.Table) -> pa.Table:
+        import pickle
+
+        own = own.sort_by("k")
+        ends = [(above.column(f"{n}_back")[0].as_py(), above.column(f"{n}_piece")[0].as_py()) for n in ("start", "end")]
+        found = fold([pickle.loads(m) for m in own.column("matrix").to_pylist()], (ends[0], ends[1]))
+        return placed_states({"row": own.column("row"), "k": own.column("k")}, found)
+
+    # Up: FAN neighbours become one matrix, until a document has one. Down: the states of a part give those of its FAN parts.
+    shape = "row long, k long, start_back int, start_piece string, end_back int, end_piece string"
+    levels = [stored(chunks.mapInArrow(matrices, "row long, k long, matrix binary"), "giant-matrices")]
+    while levels[-1].agg(F.max("k")).first()[0]:
+        above = levels[-1].groupBy("row", F.floor(F.col("k") / FAN).alias("part")).applyInArrow(multiply, "row long, k long, matrix binary")
+        levels.append(stored(above, "giant-matrices"))
+    states = levels[-1].groupBy("row", "k").applyInArrow(begin_and_end, shape)
+    for level in reversed(levels[:-1]):
+        own = level.groupBy("row", F.floor(F.col("k") / FAN).alias("part"))
+        above = stored(states, "giant-states").withColumn("part", F.col("k")).groupBy("row", "part")
+        states = own.cogroup(above).applyInArrow(scan, shape)
     placed = chunks.join(stored(states, "giant-states"), ["row", "k"])
 
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = [
-                between(pieces, r["left"], r["body"], (r["start_back"], r["start_piece"]), (r["end_back"], r["end_piece"])) for r in batch.to_pylist()
+                between(sent.value, r["left"], r["body"], (r["start_back"], r["start_piece"]), (r["end_back"], r["end_piece"])) for r in batch.to_pylist()
             ]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(ids)], names=["row", "k", "ids"])
 
@@ -367,9 +444,11 @@ def _giants(rows: DataFrame, pieces: Pieces, chunk: int) -> DataFrame:
 def decode(encoded: DataFrame, pieces: Pieces, ids_col: str = "ids") -> DataFrame:
     """``encoded`` with a column ``decoded``."""
 
+    sent = _sent(encoded, pieces)
+
     @F.arrow_udf("string")
     def back(ids: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else pieces.decode(x) for x in ids.to_pylist()], pa.string())
+        return pa.array([None if x is None else sent.value.decode(x) for x in ids.to_pylist()], pa.string())
 
     return encoded.withColumn("decoded", back(encoded[ids_col]))
 
@@ -377,16 +456,18 @@ def decode(encoded: DataFrame, pieces: Pieces, ids_col: str = "ids") -> DataFram
 def round_trip(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
     """doc_id, n_tokens, ids, exact (whether decoding gives the text back) for every row."""
 
+    sent = _sent(docs, pieces)
+
     def same(texts: list[str], ids: list[np.ndarray]) -> list[bool]:
-        return [pieces.decode(i) == t.replace(BLANK, " ") for t, i in zip(texts, ids)]
+        return [sent.value.decode(i) == t.replace(BLANK, " ") for t, i in zip(texts, ids)]
 
     @F.arrow_udf("boolean")
     def giant_same(ids: pa.Array, text: pa.Array) -> pa.Array:
         return pa.array([same([t.as_py()], [i.values.to_numpy()])[0] for t, i in zip(text, ids)], pa.bool_())
 
     small, giant, chunk = _by_length(docs, pieces, id_col, text_col, chunk)
-    giants = _giants(giant, pieces, chunk).select("doc_id", "ids", giant_same("ids", "text").alias("exact"))
-    rows = _whole(small, pieces, "exact boolean", same).unionByName(giants)
+    giants = _giants(giant, pieces, sent, chunk).select("doc_id", "ids", giant_same("ids", "text").alias("exact"))
+    rows = _whole(small, sent, "exact boolean", same).unionByName(giants)
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "exact")
 
 

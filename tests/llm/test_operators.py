@@ -312,12 +312,13 @@ def pieces():
     return sentencepiece_scan.load(sentencepiece_scan.default_model())
 
 
-def test_encoding_is_the_librarys(spark, docs, texts, pieces):
+def test_encoding_is_the_librarys(spark, docs, texts, pieces, monkeypatch):
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_scan.default_model())
     df = both(docs, texts)
     text = {(r.doc_id, i): r.text or "" for i, r in enumerate(df.collect())}
+    monkeypatch.setattr(sentencepiece_scan, "FAN", 4)
     got = Counter((r.doc_id, tuple(r.ids)) for r in sentencepiece_scan.encode(df, pieces, chunk=400).collect())
     assert got == Counter((k[0], tuple(sp.encode(t))) for k, t in text.items())
     assert all(r.exact for r in sentencepiece_scan.round_trip(df, pieces, chunk=400).collect())
@@ -332,7 +333,10 @@ def test_chunks_cut_anywhere_agree_with_the_whole(pieces):
         whole = pieces.encode(text).tolist()
         size = random.randint(2 * pieces.longest, 60)
         parts = [(text[max(0, s - 2 * pieces.longest) : s], text[s : s + size]) for s in range(0, len(text), size)]
-        states = sentencepiece_scan.fold([sentencepiece_scan.transfer(pieces, a, b, k == 0) for k, (a, b) in enumerate(parts)])
+        matrices = [sentencepiece_scan.transfer(pieces, a, b, k == 0) for k, (a, b) in enumerate(parts)]
+        states = sentencepiece_scan.fold(matrices)
+        some = sentencepiece_scan.product
+        assert all(some(matrices) == sentencepiece_scan.combine(some(matrices[:i]), some(matrices[i:])) for i in range(1, len(matrices)))
         got = [i for (a, b), (s, e) in zip(parts, states) for i in sentencepiece_scan.between(pieces, a, b, s, e).tolist()]
         assert got == whole
 
