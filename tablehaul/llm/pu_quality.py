@@ -6,8 +6,9 @@ it is on the positives, never below zero, so no negative example is needed to fi
 prior is estimated from the labels that may be learned from, as is the final scale (Platt), which makes
 a score the estimated chance of label 1.
 
-Learning reads a bounded sample, about ``SAMPLE`` documents each of positives, of
-unlabelled and of labelled bad, drawn by hash. Scores read whole texts. Defined results: null and
+The risk is minimised over a bounded sample, about ``SAMPLE`` documents each of positives, of
+unlabelled and of labelled bad, drawn by hash; the features' mean and deviation are those of all unlabelled
+documents. Scores read whole texts, a text of any length in bounded pieces as far as its words go. Defined results: null and
 empty texts get features of zero and a score; without positives every score is the prior; several
 labels of one id count as bad unless all are good; labels without a document and null labels
 are ignored; repeated rows get equal scores.
@@ -38,8 +39,11 @@ _CLASSES = {"upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digits": b"0123456789", "sy
 
 def _per_row(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Sums between the given places."""
-    sums = np.append(0, np.cumsum(values, dtype=np.int64))
-    return sums[at[1:]] - sums[at[:-1]]
+    out = np.zeros(len(at) - 1, np.int64)
+    some = at[1:] > at[:-1]
+    if some.any():
+        out[some] = np.add.reduceat(values, at[:-1][some], dtype=np.int64)
+    return out
 
 
 def _repeats(row: np.ndarray, code: np.ndarray, rows: int) -> np.ndarray:
@@ -56,7 +60,7 @@ def describe(texts: pa.Array) -> np.ndarray:
     count = np.maximum(w.count, 1)
     shares = {}
     for name, chars in _CLASSES.items():
-        member = np.zeros(256, np.int64)
+        member = np.zeros(256, np.uint8)
         member[list(chars)] = 1
         shares[name] = _per_row(member[w.data], w.row_at) / size
     beyond = _per_row(w.data >= 192, w.row_at) / size
@@ -66,8 +70,7 @@ def describe(texts: pa.Array) -> np.ndarray:
     pair = w.hashes[:-1] * np.uint64(3) + w.hashes[1:] if len(w.hashes) else w.hashes
     inner = w.doc[:-1] == w.doc[1:] if len(w.hashes) else np.zeros(0, bool)
     # A line is known by the hash of its words; a word begins a line if a line feed stands since the word before.
-    feeds = np.append(0, np.cumsum(w.data == 10))
-    line = feeds[w.start]
+    line = np.searchsorted(np.flatnonzero(w.data == 10), w.start)
     begins = np.flatnonzero(np.append(True, (line[1:] != line[:-1]) | (w.doc[1:] != w.doc[:-1]))[: len(line)])
     ends = np.append(begins[1:], len(line))[: len(begins)]
     lines = w.prefix().run(begins, ends)
@@ -176,7 +179,12 @@ def fit(described: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     unlabelled = of(-1) if len(of(-1)) >= 50 else np.vstack([of(-1), positive, bad])
     total = n[1] + n.get(0, 0)
     prior = min(max(n[1] / total, 0.05), 0.95) if n.get(0) else 0.9
-    centre, scale = unlabelled.mean(0), np.maximum(unlabelled.std(0), 0.01)
+    centre, scale = unlabelled.mean(0), unlabelled.std(0)
+    if n.get(-1, 0) >= 50:
+        of_all = [g(F.get("f", i)) for g in (F.avg, F.stddev_pop) for i in range(len(FEATURES))]
+        found = np.array(rows.where("y = -1").agg(*(c.alias(f"c{i}") for i, c in enumerate(of_all))).first())
+        centre, scale = found[: len(FEATURES)], found[len(FEATURES) :]
+    scale = np.maximum(scale, 0.01)
     w = minimise(_expand(positive, centre, scale), _expand(unlabelled, centre, scale), prior)
     model = Model(prior, centre.tolist(), scale.tolist(), w.tolist())
     if len(bad):
@@ -199,8 +207,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", cutoff: float = CUTOFF) -> DataFrame:
-    """``docs`` without the rows whose score is below the cutoff; all columns stay."""
-    model = fit(stored(features(docs, id_col, text_col), "pu-features"), labels.where(~held_out(F.col("doc_id"))))
+    """``docs`` without the rows whose score is below the cutoff; all columns stay. Every text is described once."""
 
     @F.arrow_udf("array<double>")
     def described(texts: pa.Array) -> pa.Array:
@@ -208,7 +215,12 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
         x = np.vstack(parts) if parts else np.zeros((0, len(FEATURES)))
         return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, len(FEATURES), dtype=np.int32)), pa.array(x.ravel()))
 
-    return docs.where(model.score(described(F.coalesce(docs[text_col].cast("string"), F.lit("")))) >= cutoff)
+    f = "f"
+    while f.lower() in {c.lower() for c in docs.columns}:
+        f = "_" + f
+    rows = stored(docs.withColumn(f, described(F.coalesce(docs[text_col].cast("string"), F.lit("")))), "pu-described")
+    model = fit(rows.select(rows[id_col].cast("long").alias("doc_id"), rows[f].alias("f")), labels.where(~held_out(F.col("doc_id"))))
+    return rows.where(model.score(rows[f]) >= cutoff).drop(f)
 
 
 def op6_positive_unlabelled_quality(spark, sf_dir):

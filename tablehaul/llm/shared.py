@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tablehaul.session import fresh_dir
 
 #: Text handled at once inside a task: batches are cut so that arrays stay small.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -23,6 +23,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+#: Bytes that are widened to 64 bits at once; powers of a base that are kept.
+PIECE, KEPT_POWERS = 1 << 18, 1 << 19
 _TABLES: dict[int, np.ndarray] = {}
 
 
@@ -33,7 +35,7 @@ def _powers(base: int, n: int) -> np.ndarray:
         kept = np.full(max(n, 1 << 16), base, dtype=np.uint64)
         kept[0] = 1
         np.multiply.accumulate(kept, dtype=np.uint64, out=kept)
-        if n <= 1 << 23:
+        if n <= KEPT_POWERS:
             _TABLES[base] = kept
     return kept[:n]
 
@@ -73,10 +75,27 @@ class Words:
         self.hashes = self._hash_words()
 
     def _hash_words(self) -> np.ndarray:
-        if not len(self.start):
-            return np.zeros(0, np.uint64)
-        run = Prefix(self.data.astype(np.uint64) + np.uint64(1), _BYTE_BASE).run(self.start, self.end)
-        return mix(run + (self.end - self.start).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+        """Piece by piece: a piece is whole words, or a part of one that is longer."""
+        out = np.zeros(len(self.start), np.uint64)
+        at = 0
+        while at < len(out):
+            begin = int(self.start[at])
+            stop = int(np.searchsorted(self.end, begin + PIECE, "right"))
+            if stop == at:
+                out[at], at = self._long_word(begin, int(self.end[at])), at + 1
+                continue
+            bytes_ = self.data[begin : self.end[stop - 1]].astype(np.uint64) + np.uint64(1)
+            out[at:stop] = Prefix(bytes_, _BYTE_BASE).run(self.start[at:stop] - begin, self.end[at:stop] - begin)
+            at = stop
+        return mix(out + (self.end - self.start).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+
+    def _long_word(self, begin: int, end: int) -> int:
+        total = 0
+        for at in range(begin, end, PIECE):
+            bytes_ = self.data[at : min(at + PIECE, end)].astype(np.uint64) + np.uint64(1)
+            part = int(np.sum(bytes_ * _powers(_BYTE_BASE, len(bytes_)), dtype=np.uint64))
+            total += part * pow(_BYTE_BASE, at - begin, 1 << 64)
+        return total % (1 << 64)
 
     def prefix(self, which: int = 0) -> Prefix:
         return Prefix(self.hashes, BASES[which])

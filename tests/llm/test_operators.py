@@ -38,6 +38,28 @@ def test_words_and_runs():
     assert p.run(np.array([0]), np.array([3])) == p.run(np.array([len(w.hashes) - 4]), np.array([len(w.hashes) - 1]))
 
 
+def test_word_hashes_do_not_depend_on_the_pieces(monkeypatch):
+    from tablehaul.llm import words
+
+    random.seed(8)
+    given = [" ".join("y" * random.choice([1, 2, 30, 500]) + str(i % 9) for i in range(random.randint(0, 40))) for _ in range(30)]
+    whole = Words(pa.array(given)).hashes
+    for piece in (1, 16, 600):
+        monkeypatch.setattr(words, "PIECE", piece)
+        assert (Words(pa.array(given)).hashes == whole).all()
+
+
+def test_a_long_text_needs_a_bounded_multiple_of_its_size():
+    import tracemalloc
+
+    text = pa.array(["some words of ordinary length " * 600_000])  # 18 MB
+    tracemalloc.start()
+    Words(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 14 * len(text[0].as_buffer())
+
+
 # 1
 
 PLAIN = {
