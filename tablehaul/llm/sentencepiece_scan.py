@@ -45,6 +45,7 @@ SHORT = 48
 DEFAULT_MODEL = "piece_bpe_32k.model"
 NEVER = float("-inf")
 
+_PARTS = re.compile(rf"{BLANK}*\w+|[^\w{BLANK}]+|{BLANK}+")
 _WORD = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
 
@@ -63,10 +64,11 @@ class Pieces:
     agreed: dict[str, dict[str, bool]] = field(default_factory=dict)  # by left piece, then right
     n_agreed: int = 0
     words: dict[str, bytes] = field(default_factory=dict)
+    older: dict[str, bytes] = field(default_factory=dict)
     runs: dict[str, bytes] = field(default_factory=dict)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"agreed": {}, "n_agreed": 0, "words": {}, "runs": {}}
+        return self.__dict__ | {"agreed": {}, "n_agreed": 0, "words": {}, "older": {}, "runs": {}}
 
     def merged(self, text: str) -> list[str]:
         """What the model makes of a short text: best-scored neighbours join first, the leftmost of equals."""
@@ -148,13 +150,36 @@ class Pieces:
         found = self.runs[text] = self.packed(self.path(text))
         return found
 
+    def short(self, text: str) -> bytes:
+        """Letters and what stands between them one by one, where no piece holds the neighbours."""
+        parts = _PARTS.findall(text)
+        at = 1
+        while at < len(parts):
+            if parts[at - 1][-1] + parts[at][0] in self.pairs:
+                parts[at - 1 : at + 1] = [parts[at - 1] + parts[at]]
+            else:
+                at += 1
+        out = []
+        for part in parts:
+            found = self.runs.get(part)
+            if found is None:
+                if len(self.runs) > REMEMBERED:
+                    self.runs.clear()
+                found = self.runs[part] = self.packed(self.merged(part))
+            out.append(found)
+        return out[0] if len(out) == 1 else b"".join(out)
+
     def word(self, text: str) -> bytes:
         """A short word is merged as the model merges it. A longer one is cut where no piece holds both neighbours, since
         every path has a boundary there, and its parts are searched."""
         if len(self.words) > REMEMBERED:
-            self.words.clear()
+            self.words, self.older = {}, self.words  # words that come often come back from there
+        found = self.older.get(text)
+        if found is not None:
+            self.words[text] = found
+            return found
         if len(text) <= SHORT:
-            found = self.words[text] = self.packed(self.merged(text))
+            found = self.words[text] = self.short(text)
             return found
         pairs, known = self.pairs, self.runs.get
         cuts = [0, *[i for i in range(1, len(text)) if text[i - 1 : i + 1] not in pairs], len(text)]
