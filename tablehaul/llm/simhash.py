@@ -293,11 +293,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest = known.groupBy("component").agg(F.min("least").alias("component_id"))
     named = stored(known.join(smallest, "component").select("f", "n", "component_id"), "simhash-named")
     # Fingerprints of many rows are few; looked up first, by a broadcast if they measure small.
-    many = named.where(F.col("n") > HOT).select("f", F.struct("component_id").alias("hot"))
+    many = stored(named.where(F.col("n") > HOT).select("f", "component_id"), "simhash-many")
     usual = named.where(F.col("n") <= HOT).select("f", "component_id")
-    looked = rows.join(many, "f", "left")
-    found = looked.where("hot IS NOT NULL").select("doc_id", "f", F.col("hot.component_id"))
-    rest = looked.where("hot IS NULL").select("doc_id", "f").join(usual, "f").select("doc_id", "f", "component_id")
+    found = rows.join(many, "f").select("doc_id", "f", "component_id")
+    rest = rows.join(many, "f", "left_anti").join(usual, "f").select("doc_id", "f", "component_id")
     return found.unionByName(rest)
 
 
