@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -101,6 +102,13 @@ class SmoothedRate:
     def fresh(self):
         return None
 
+    def _known(self, columns):
+        """Which rows are samples, and only those. One without a time or a size is none: it has no rate and changes none."""
+        known = np.ones(len(columns[self.time]), dtype=bool)
+        for name in (self.time, self.size):
+            known &= ~np.isnan(columns[name].astype(np.float64))
+        return known, {n: columns[n][known] for n in self.inputs}
+
     def _instants(self, last_bytes, last_time, columns):
         """Rates between neighbours; NaN where the step is too short to count."""
         times = np.concatenate(([last_time], columns[self.time].astype(np.float64)))
@@ -114,8 +122,14 @@ class SmoothedRate:
         return float(columns[self.time][0]), int(columns[self.size][0])
 
     def walk(self, state, columns):
+        known, columns = self._known(columns)
+        if not known.any():
+            none = pa.nulls(len(known), pa.float64())
+            held = none if state is None else pa.array(np.full(len(known), state[3]), pa.float64())
+            return state, {"inst_rate": none, "rate": held, "elapsed_s": none}
         time0, size0 = self._first(columns)
         start, size, time, rate = state or [time0, size0, time0, 0.0]
+        before = None if state is None else rate
         instants = self._instants(size, time, columns)
         rates = np.empty(len(instants))
         for i, instant in enumerate(instants.tolist()):
@@ -129,12 +143,23 @@ class SmoothedRate:
             "rate": pa.array(rates, pa.float64()),
             "elapsed_s": pa.array(times - start, pa.float64()),
         }
-        return end, out
+        return end, out if known.all() else self._between(out, known, before)
+
+    def _between(self, out, known, before):
+        """Rows that are no samples among those that are: the last rate stays, the other columns are null."""
+        at = np.cumsum(known) - 1  # the last sample at or before each row
+        taken = {n: v.take(pa.array(np.maximum(at, 0))) for n, v in out.items()}
+        unknown = {n: pc.if_else(pa.array(known), v, pa.scalar(None, pa.float64())) for n, v in taken.items() if n != "rate"}
+        first = pa.scalar(before, pa.float64())
+        return unknown | {"rate": pc.if_else(pa.array(at >= 0), taken["rate"], first)}
 
     def unknown(self):
         return None
 
     def walk_unknown(self, effect, columns):
+        known, columns = self._known(columns)
+        if not known.any():
+            return effect
         time0, size0 = self._first(columns)
         if effect is None:
             # the step into the first row needs the row before it, so it waits
@@ -156,6 +181,8 @@ class SmoothedRate:
         return {"first": effect["first"], "last": last, "pieces": pieces, "a": a, "b": b}
 
     def apply(self, effect, state):
+        if effect is None:
+            return state
         time0, size0 = effect["first"]
         start, size, time, rate = state or [time0, size0, time0, 0.0]
         instant = self._instants(size, time, {self.time: np.array([time0]), self.size: np.array([size0])})[0]
@@ -272,6 +299,7 @@ def running_total(chunked: DataFrame, series: list[str], value: str, out: str) -
 def rates(chunked: DataFrame, series: list[str], time: str = "t_s", size: str = "bytes_current") -> DataFrame:
     """Adds ``inst_rate`` and ``rate`` in MB/s and ``elapsed_s`` to byte samples.
 
+    A row without a time or a size is no sample: the last rate stays, the other columns are null there.
     The first sample of a task sets the mark; a step shorter than 0.1 s moves
     the mark but gives no rate, and a falling byte count counts as none.
     """

@@ -94,6 +94,14 @@ def ewma_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rates(spark, sf_dir).select("event_id", "worker", F.round("rate", 6).alias("rate"))
 
 
+def ewma_rate_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh sample has lost its size: it gives no rate, and the next step goes over it."""
+    samples = views.samples(spark, sf_dir)
+    lost = F.when(F.col("event_id") % 7 != 0, F.col("bytes_current"))
+    rated = sequence.rates(samples.withColumn("bytes_current", lost), ["worker"])
+    return rated.select("event_id", "worker", F.round("inst_rate", 9).alias("inst_rate"), F.round("rate", 6).alias("rate"))
+
+
 def _phased(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = views.samples(spark, sf_dir)
     rated = sequence.rates(samples, ["worker"])
@@ -167,6 +175,7 @@ QUERIES = {
     "running_bytes": running_bytes,
     "instant_rate": instant_rate,
     "ewma_rate": ewma_rate,
+    "ewma_rate_nulls": ewma_rate_nulls,
     "task_phase": task_phase,
     "overall_progress": overall_progress,
 }
@@ -200,6 +209,13 @@ FROM runs WHERE kind = 'failed'""",
         STEPS + ",\n" + FOLDED,
         "SELECT event_id, s.worker, round(rate, 6) AS rate FROM steps s JOIN rated r ON s.worker = r.worker AND s.n = r.n",
     ),
+    "ewma_rate_nulls": _rate_sql(
+        "samples",
+        "known AS (SELECT * FROM samples WHERE event_id % 7 <> 0),\n" + STEPS.replace("FROM samples", "FROM known") + ",\n" + FOLDED,
+        """SELECT a.event_id, a.worker, round(s.inst_rate, 9) AS inst_rate, round(r.rate, 6) AS rate
+FROM (SELECT *, count(*) FILTER (event_id % 7 <> 0) OVER (PARTITION BY worker ORDER BY t_s, event_id) AS k FROM samples) a
+LEFT JOIN rated r ON r.worker = a.worker AND r.n = a.k LEFT JOIN steps s ON s.event_id = a.event_id AND s.worker = a.worker""",
+    ),
     "task_phase": _rate_sql(
         "samples",
         ",\n".join((STEPS, FOLDED, PHASED)),

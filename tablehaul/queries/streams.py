@@ -25,7 +25,7 @@ def stream_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
     halves = [F.col("c_nationkey") < 12, F.col("c_nationkey") >= 12]
     for i, half in enumerate(halves):
         write_dump(source.where(half), f"{folder}/part{i}.sql.gz", DATABASE, "customer", compress=True)
-        restore.restore_new_files(spark, folder, source.schema, out, checkpoint)
+        restore.restore_new_files(spark, folder, source.schema, out, checkpoint, "customer")
     return spark.read.schema(source.schema).parquet(out)
 
 

@@ -21,9 +21,9 @@ from tablehaul.sources.ddl import parse_create_table
 
 _NAME = r"(?:`(?:[^`]++|``)++`|[^\s(`.]++)"
 _COLUMNS = r"\((?:[^`()]++|`(?:[^`]++|``)*+`)*+\)"
-# The start of a row statement; groups: table name, column list.
+# The start of a row statement; groups: table name, column list. One that names a database besides is not understood here.
 INSERT_HEAD = (
-    rf"(?is)^\s*(?:INSERT|REPLACE)\s+(?:IGNORE\s+)?INTO\s+(?:{_NAME}\.)?({_NAME})\s*({_COLUMNS})?\s*VALUES?\s*"
+    rf"(?is)^\s*(?:INSERT|REPLACE)\s+(?:IGNORE\s+)?INTO\s+({_NAME})\s*({_COLUMNS})?\s*VALUES?\s*"
 )
 # One row in parentheses, and one field of it. Possessive, so a long line is
 # walked once and without recursion.
@@ -44,8 +44,11 @@ OTHER_LINE = (
     r"(?:int|integer|text|blob|char|binary|float|double|decimal|numeric|date|datetime|timestamp|time|year|json|enum|set|bit|bool|boolean)\b)"
 )
 
-# A line of another kind after which a row statement begins all the same.
-HIDDEN_ROWS = r"(?i)^(?!\s*(?:--|#)).*(?:;|\*/)\s*(?:INSERT|REPLACE)\b"
+# A line of another kind in which rows begin or are changed all the same, or a column is; such dumps need a scan of statements.
+HIDDEN_ROWS = (
+    r"(?i)^(?!\s*(?:--|#))(?:.*(?:;|\*/|/\*M?!\d*)\s*(?:INSERT|REPLACE|UPDATE|DELETE|TRUNCATE)\b"
+    r"|\s*ALTER\s+TABLE\s+\S+\s+(?!(?:DISABLE|ENABLE)\s+KEYS))"
+)
 # A line that begins (or may begin) a CREATE TABLE statement, one that ends a statement, one with which rows begin.
 CREATE_LINE = r"(?i)^[ \t]*CREATE(?:\s*$|\s+TABLE\b)"
 END_LINE = re.compile(rb";[ \t\r]*$")

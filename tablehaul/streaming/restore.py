@@ -15,14 +15,13 @@ def restore_new_files(
     schema: T.StructType,
     target: str,
     checkpoint: str,
+    table: str,
     files_per_batch: int = 1000,
-    table: str | None = None,
 ) -> None:
     """Restore files not seen before into Parquet at ``target``, then stop.
 
     Each file is restored once, across any number of calls with one checkpoint.
-    A damaged file fails its batch, which leaves nothing behind; with ``table``, so does a
-    row statement of another table.
+    A damaged file fails its batch, which leaves nothing behind; so does a row statement of a table other than ``table``.
     """
     lines = (
         spark.readStream.option("recursiveFileLookup", "true")

@@ -313,16 +313,35 @@ def test_stream_restores_each_file_once(spark, work):
     df = spark.range(100).selectExpr("id", "concat('n''', id) as s")
     for i in range(3):
         write_dump(df.where(f"id % 3 = {i}"), f"{folder}/t{i}.sql", "d", "t")
-        restore_new_files(spark, folder, df.schema, out, checkpoint, files_per_batch=2)
-        restore_new_files(spark, folder, df.schema, out, checkpoint)
+        restore_new_files(spark, folder, df.schema, out, checkpoint, "t", files_per_batch=2)
+        restore_new_files(spark, folder, df.schema, out, checkpoint, "t")
     back = spark.read.parquet(out)
     assert back.count() == 100 and back.exceptAll(df).count() == 0
     _write(folder + "/bad.sql", "INSERT INTO `t` VALUES (1);\n")
     with pytest.raises(PySparkException):
-        restore_new_files(spark, folder, df.schema, out, checkpoint)
+        restore_new_files(spark, folder, df.schema, out, checkpoint, "t")
     assert spark.read.parquet(out).count() == 100
 
 
+def test_a_stream_does_not_mix_tables(spark, work):
+    _write(work + "/in/x.sql", "INSERT INTO `t` VALUES (1);\nINSERT INTO `u` VALUES (2);\n")
+    with pytest.raises(PySparkException):
+        restore_new_files(spark, work + "/in", spark.range(1).schema, work + "/out", work + "/c", "t")
+
+
+@pytest.mark.parametrize("chunks", [1, 2, 5])
+def test_rates_pass_over_samples_without_a_size(spark, chunks):
+    mb = 1 << 20
+    rows = [(i, 1, float(i), size) for i, size in enumerate([None, 0, mb, None, None, 3 * mb, 3 * mb, None])] + [(20 + i, 2, float(i), None) for i in range(4)]
+    rows += [(30, 3, None, mb), (31, 3, 1.0, mb), (32, 3, 2.0, 5 * mb)]
+    df = spark.createDataFrame(rows, "event_id long, worker long, t_s double, bytes_current long")
+    got = {r.event_id: (r.inst_rate, r.rate) for r in sequence.rates(sequence.in_chunks(df, ["worker"], ["t_s", "event_id"], chunks), ["worker"]).collect()}
+    assert [got[i] for i in range(8)] == [
+        (None, None), (None, 0.0), (1.0, 1.0), (None, 1.0), (None, 1.0), (2 / 3, 0.25 * (2 / 3) + 0.75), (0.0, 0.75 * (0.25 * (2 / 3) + 0.75)), (None, 0.75 * (0.25 * (2 / 3) + 0.75)),
+    ]
+    assert all(got[20 + i] == (None, None) for i in range(4)) and got[30] == (None, None) and got[32] == (4.0, 4.0)
+
+
 def test_stream_rates_drop_samples_older_than_state(spark, work):
     def feed(rows):
         df = spark.createDataFrame(rows, "event_id bigint, worker bigint, t_s double, bytes_current bigint")
