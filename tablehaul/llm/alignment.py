@@ -253,7 +253,7 @@ def by_row(align_pairs: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], wid
 #: A's pattern begins a token there, and none of B's pieces holds a blank after another character (checked on loading).
 _CUT = re.compile(r"(?<=[^ ]) (?=\S)")
 #: Characters that are cut into chunks at once; chunks a worker remembers, and the bytes of them.
-PIECE, REMEMBERED, REMEMBERED_BYTES = 1 << 20, 1 << 18, 32 << 20
+PIECE, REMEMBERED, REMEMBERED_BYTES = 1 << 20, 1 << 19, 32 << 20
 #: New chunks that are encoded as one text.
 JOINED = 256
 
