@@ -305,14 +305,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     own = rows.where("node IS NOT NULL AND doc_id <=> class_id").groupBy("component", "doc_id", "node").agg(F.count("*").alias("_rows"))
     # Per class and not per id: a null or repeated id may be the smallest of several classes.
     chosen = own.groupBy("component").agg(F.min(F.struct("doc_id", "node", "_rows")).alias("one"))
-    chosen = stored(chosen.select(F.col("one.doc_id").alias("_doc"), F.col("one.node").alias("_node"), F.col("one._rows").alias("_rows")), "ngram-kept")
+    chosen = stored(chosen.select(F.col("one.doc_id").alias("kept_id"), F.col("one.node").alias("node"), F.col("one._rows").alias("copies")), "ngram-kept")
     digest = F.arrow_udf(_digest, "long")
-    marked = docs.withColumn("_key", digest(F.coalesce(docs[text_col].cast("string"), F.lit(""))))
-    held = marked.join(chosen, marked[id_col].cast("long").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_node")))
-    names = [f"`{c}`" for c in docs.columns]
-    single = held.where("_rows = 1").select(*names)
-    several = held.where("_rows > 1").dropDuplicates(["_doc", "_node"]).select(*names)
-    return marked.where("_key IS NULL").select(*names).unionByName(single).unionByName(several)
+    # The row travels as one struct, so that none of its columns can clash with those added here.
+    key = digest(F.coalesce(docs[text_col].cast("string"), F.lit("")))
+    marked = docs.select(F.struct("*").alias("row"), docs[id_col].cast("long").alias("id"), key.alias("key"))
+    held = marked.join(chosen, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("key") == F.col("node")))
+    single = held.where("copies = 1").select("row.*")
+    several = held.where("copies > 1").dropDuplicates(["kept_id", "node"]).select("row.*")
+    return marked.where("key IS NULL").select("row.*").unionByName(single).unionByName(several)
 
 
 def _digest(texts: pa.Array) -> pa.Array:

@@ -115,10 +115,16 @@ def _parts(heavy: DataFrame, limit: int) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Every row, in files of its shard in a folder of its own. Rows carry their columns, so null and repeated ids are written as given."""
+    """Every row, in files of its shard in a folder of its own. Rows carry their columns, so null and repeated ids are written as given.
+
+    Folders are named ``_shard=...``, with as many underscores before as it takes to differ from the rows' own columns.
+    """
     placed = shard_documents(docs, limit, id_col, text_col, carry=True)
-    at = F.concat_ws("-", F.concat(F.lit("s"), "shard"), "part").alias("_shard")
-    placed.select("row.*", at).repartition("_shard").write.partitionBy("_shard").parquet(path)
+    name = "_shard"
+    while name in {c.lower() for c in docs.columns}:
+        name = f"_{name}"
+    at = F.concat_ws("-", F.concat(F.lit("s"), "shard"), "part").alias(name)
+    placed.select("row.*", at).repartition(name).write.partitionBy(name).parquet(path)
 
 
 def op5_extendible_shards(spark, sf_dir):

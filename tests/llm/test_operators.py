@@ -177,6 +177,17 @@ def test_keep_one_takes_classes_apart_that_share_an_id(spark):
     assert Counter(map(tuple, kept)) == Counter([(8, given[0]), (None, given[1]), (5, given[2]), (5, given[3]), (None, given[4])])
 
 
+def test_keep_one_leaves_columns_with_any_name_alone(spark, texts):
+    names = ("_key", "_rows", "_doc", "_node", "row", "id", "key", "kept_id", "copies", "component", "doc id")
+    odd = texts.selectExpr("*", *(f"concat('own ', text) AS `{name}`" for name in names))
+    kept = ngram_join.keep_one(odd)
+    assert kept.columns == odd.columns
+    given = {tuple(r) for r in odd.collect()}
+    rows = [tuple(r) for r in kept.collect()]
+    assert rows and all(r in given for r in rows)
+    assert Counter(r[1] for r in rows) == Counter(r.text for r in ngram_join.keep_one(texts).collect())
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     got = {r.node: r.component for r in components.components(links).collect()}
@@ -255,6 +266,10 @@ def test_shards_are_written_with_every_row_once(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "out"))
     assert Counter(map(tuple, back.select(*df.columns).collect())) == Counter(map(tuple, df.collect()))
     assert back.groupBy("_shard").agg(F.sum(F.length("text")).alias("n")).agg(F.max("n")).first()[0] <= 1000
+    clash = df.withColumn("_shard", F.lit("own")).withColumn("row", F.lit(1))
+    sharding.write_shards(clash, str(tmp_path / "clash"), 1000)
+    back = spark.read.parquet(str(tmp_path / "clash"))
+    assert Counter(map(tuple, back.select(*clash.columns).collect())) == Counter(map(tuple, clash.collect()))
 
 
 # 6
