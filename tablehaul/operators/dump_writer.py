@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tablehaul.functions.sqltext import literal, quote_identifier
 from tablehaul.sources.ddl import create_table
+from tablehaul.sources.indexed_gzip import write_indexed
 
 # Fixed value: default statement buffer, 1M.
 NET_BUFFER_LENGTH = 1024 * 1024
@@ -145,14 +146,20 @@ def write_dump(
     table: str,
     compress: bool = False,
     mode: str = "overwrite",
+    block_bytes: int | None = None,
     **options,
 ) -> None:
     """Write a dump folder, in place of an older one of that name.
 
+    With ``block_bytes``, as indexed gzip: members of about so much text, which tasks can read on their own.
+
     Uncommitted parts of a failed job are removed or stay hidden, so a run that
     is tried again can use the same path.
     """
     text = dump_text(df, database, table, **options)
+    if block_bytes is not None:
+        write_indexed(text, path, block_bytes, mode)
+        return
     writer = text.write.mode(mode)
     if compress:
         writer = writer.option("compression", "gzip")

@@ -23,7 +23,8 @@ from tablehaul.queries.views import TABLES, table
 from tablehaul.session import fresh_dir
 from tablehaul.sources.catalog import parquet_tables
 from tablehaul.sources.ddl import mysql_type
-from tablehaul.sources.dump_reader import read_dump, read_schema
+from tablehaul.sources.dump_reader import read_dump, read_indexed_dump, read_schema
+from tablehaul.sources.indexed_gzip import find_blocks
 
 DATABASE = "shop"
 
@@ -51,6 +52,22 @@ def roundtrip(name: str, compress: bool):
     return query
 
 
+def roundtrip_indexed_gz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A gzip dump of few files, read by a task for each part of a megabyte."""
+    path = f"{fresh_dir(spark, 'dump')}/{dump_name('lineitem', DATABASE, True)}"
+    write_dump(table(spark, sf_dir, "lineitem"), path, DATABASE, "lineitem", block_bytes=1 << 20, buffer_bytes=1 << 18)
+    return read_indexed_dump(spark, path, split_bytes=1 << 20)
+
+
+def roundtrip_found_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for files whose index is lost: their members are found first."""
+    path = f"{fresh_dir(spark, 'dump')}/{dump_name('documents', DATABASE, True)}"
+    write_dump(table(spark, sf_dir, "documents"), path, DATABASE, "documents", block_bytes=1 << 20)
+    blocks = fresh_dir(spark, "blocks")
+    find_blocks(spark, f"{path}/*.sql.gz").write.parquet(blocks)
+    return read_indexed_dump(spark, path, blocks=spark.read.parquet(blocks), split_bytes=1 << 20)
+
+
 def export_rows_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _written(spark, sf_dir, "orders", False, structure=False)
     return read_dump(spark, path, table(spark, sf_dir, "orders").schema)
@@ -196,7 +213,7 @@ def migration(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     dumps, target, ledger = (fresh_dir(spark, label) for label in ("export", "import", "ledger"))
     catalog = parquet_tables(spark, sf_dir, DATABASE)
-    plan = export_plan(catalog, dumps, compress=True, databases=DATABASE, exclude_tables="embeddings, pages")
+    plan = export_plan(catalog, dumps, compress=True, databases=DATABASE)
     wrote = run_export(spark, plan, lambda _, name: table(spark, sf_dir, name), compress=True)
     restored = run_import(spark, import_plan(candidates(spark, dumps)), target, ledger)
     failed = wrote.unionAll(restored).where(F.col("kind") == "failed")
@@ -208,9 +225,7 @@ def migration(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 MIGRATION_SQL = "\nUNION ALL\n".join(
-    f"SELECT '{t}' AS table_name, count(*) AS source_rows, "
-    + ("CAST(NULL AS BIGINT)" if t in ("embeddings", "pages") else "count(*)")
-    + f" AS restored_rows, CAST(0 AS BIGINT) AS failed_items FROM {t}"
+    f"SELECT '{t}' AS table_name, count(*) AS source_rows, count(*) AS restored_rows, CAST(0 AS BIGINT) AS failed_items FROM {t}"
     for t in TABLES
 )
 
@@ -218,6 +233,8 @@ QUERIES = {f"roundtrip_{t}": roundtrip(t, False) for t in TABLES}
 QUERIES |= {f"roundtrip_{t}_gz": roundtrip(t, True) for t in TABLES}
 QUERIES |= {
     "roundtrip_nulls": nulls_roundtrip,
+    "roundtrip_indexed_gz": roundtrip_indexed_gz,
+    "roundtrip_found_blocks": roundtrip_found_blocks,
     "export_rows_only": export_rows_only,
     "export_structure_only": _described(rows=False),
     "ddl_catalog": _described(rows=True),
@@ -230,6 +247,8 @@ QUERIES |= {
 ORACLES = {f"roundtrip_{t}{end}": f"SELECT * FROM {t}" for t in TABLES for end in ("", "_gz")}
 ORACLES |= {
     "roundtrip_nulls": NULLS_SQL,
+    "roundtrip_indexed_gz": "SELECT * FROM lineitem",
+    "roundtrip_found_blocks": "SELECT * FROM documents",
     "export_rows_only": "SELECT * FROM orders",
     "export_structure_only": DESCRIBED_SQL.replace("@rows", "CAST(0 AS BIGINT)"),
     "ddl_catalog": DESCRIBED_SQL.replace("@rows", "n.source_rows"),

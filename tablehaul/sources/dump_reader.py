@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from tablehaul.functions.sqltext import is_null_token, value_of
 from tablehaul.sources.ddl import parse_create_table
+from tablehaul.sources.indexed_gzip import SPLIT_BYTES, indexed_lines, read_blocks
 
 _NAME = r"(?:`(?:[^`]++|``)++`|[^\s(`.]++)"
 _COLUMNS = r"\((?:[^`()]++|`(?:[^`]++|``)*+`)*+\)"
@@ -120,12 +121,19 @@ def _gather(wanted: set[tuple[str, int]] | None = None):
     return run
 
 
-def _create_texts(spark: SparkSession, path: str | list[str]) -> list[str]:
-    """Texts of the ``CREATE TABLE`` statements, read by lines; files split as they do when rows are read."""
+_PLACES = ("file_path", "file_block_start", "file_block_length", "file_size")
+
+
+def _placed_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Lines with their split; files split as they do when rows are read."""
     lines = spark.read.option("recursiveFileLookup", "true").text(path)
+    return lines.select("value", *(F.col(f"_metadata.{c}") for c in _PLACES))
+
+
+def _create_texts(lines: DataFrame) -> list[str]:
+    """Texts of the ``CREATE TABLE`` statements, read by lines."""
     value = F.when(F.col("value").rlike(ROWS_LINE), ROWS_MARK.decode()).otherwise(F.col("value"))
-    places = ("file_path", "file_block_start", "file_block_length", "file_size")
-    lines = lines.select(value.cast("binary").alias("value"), *(F.col(f"_metadata.{c}") for c in places))
+    lines = lines.select(value.cast("binary").alias("value"), *_PLACES)
     shape = "text string, open boolean, file string, start long, length long, size long"
     texts, cut = [], {}
 
@@ -159,8 +167,12 @@ def read_schemas(spark: SparkSession, path: str | list[str]) -> dict[str, T.Stru
 
     Only the text of ``CREATE TABLE`` statements reaches the driver, and no record is longer than a line.
     """
+    return _schemas(_placed_lines(spark, path), path)
+
+
+def _schemas(lines: DataFrame, path: str | list[str]) -> dict[str, T.StructType]:
     schemas: dict[str, T.StructType] = {}
-    for text in _create_texts(spark, path):
+    for text in _create_texts(lines):
         begin = re.search(r"(?im)^[ \t]*CREATE\s+TABLE\b", text)
         if begin is None:
             continue
@@ -172,7 +184,10 @@ def read_schemas(spark: SparkSession, path: str | list[str]) -> dict[str, T.Stru
 
 def read_schema(spark: SparkSession, path: str | list[str], table: str | None = None) -> tuple[str, T.StructType]:
     """Name and schema of the table a dump creates; ``table`` picks one of several."""
-    schemas = read_schemas(spark, path)
+    return _choose(read_schemas(spark, path), path, table)
+
+
+def _choose(schemas: dict[str, T.StructType], path: str | list[str], table: str | None) -> tuple[str, T.StructType]:
     if table is not None:
         if table not in schemas:
             raise ValueError(f"no CREATE TABLE for {table} in {path}")
@@ -349,3 +364,27 @@ def read_dump(
     if spread:
         lines = lines.repartition(spread)
     return parse_lines(lines, schema, table, others)
+
+
+def read_indexed_dump(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType | None = None,
+    table: str | None = None,
+    blocks: DataFrame | None = None,
+    split_bytes: int = SPLIT_BYTES,
+) -> DataFrame:
+    """As ``read_dump``, for a gzip dump with an index: a task for about ``split_bytes``, however few the files.
+
+    ``blocks`` is the index of files that have none beside them (``find_blocks``).
+    """
+    found = indexed_lines(read_blocks(spark, path) if blocks is None else blocks, split_bytes)
+    lines = found.withColumn("value", F.col("value").cast("string"))
+    others: tuple[str, ...] | None = ()
+    if schema is None:
+        schemas = _schemas(lines, path)
+        table, schema = _choose(schemas, path, table)
+        others = tuple(sorted(set(schemas) - {table}))
+    elif table is not None:
+        others = None
+    return parse_lines(lines.select("value", F.col("file_path").alias("_file")), schema, table, others)
