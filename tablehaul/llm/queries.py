@@ -41,4 +41,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLES: dict[str, str] = {"op5_extendible_shards": sharding.oracle(), "op7_normalised_warc": warc.ORACLE, "op11_nested_merkle_manifest": merkle.ORACLE}
+ORACLES: dict[str, str] = {
+    "op5_extendible_shards": sharding.oracle(),
+    "op7_normalised_warc": warc.ORACLE,
+    "op8_seed_extend_dedup": substring_dedup.ORACLE,
+    "op11_nested_merkle_manifest": merkle.ORACLE,
+}

@@ -222,3 +222,26 @@ def remove_repeats(
 
 def op8_seed_extend_dedup(spark, sf_dir):
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+#: The definition itself: every window's words counted, over all rows.
+ORACLE = r"""
+WITH given AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), windows AS MATERIALIZED (
+  SELECT r, s, array_to_string(words[s:s + 34], ' ') AS content
+  FROM (SELECT r, words, unnest(range(1, len(words) - 33)) AS s FROM given WHERE len(words) >= 35)
+), met_again AS (
+  SELECT content FROM windows GROUP BY content HAVING count(*) > 1
+), covered AS MATERIALIZED (
+  SELECT DISTINCT r, unnest(range(s, s + 35)) AS p FROM windows SEMI JOIN met_again USING (content)
+), kept AS (
+  SELECT r, string_agg(word, ' ' ORDER BY p) AS kept
+  FROM (SELECT r, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS p FROM given) ANTI JOIN covered USING (r, p) GROUP BY r
+), gone AS (
+  SELECT r, count(*) AS n_removed FROM covered GROUP BY r
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(kept, '')) AS kept_sha256
+FROM given LEFT JOIN kept USING (r) LEFT JOIN gone USING (r)
+"""

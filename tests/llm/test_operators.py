@@ -341,6 +341,20 @@ def test_substrings_against_brute_force(spark, docs, texts):
     assert substring_dedup.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_substrings_against_sql_on_odd_rows(spark, texts):
+    import duckdb
+
+    shared = " ".join(f"w{i}" for i in range(50))
+    made = [(1, "x " * 36), (2, "y " * 35), (3, f"a {shared} b"), (3, f"é {shared}\tc\n\nd"), (None, shared[:-1]), (4, "\u00a0".join("abc") + " " + shared)]
+    df = texts.select("doc_id", "text").unionByName(spark.createDataFrame([*made, (5, "q " * 34), (2, "y " * 35)], "doc_id long, text string"))
+    con = duckdb.connect()
+    con.register("documents", df.toArrow())
+    expected = con.execute(substring_dedup.ORACLE).fetchall()
+    got = substring_dedup.remove_repeats(df).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert Counter(map(tuple, got)) == Counter(expected)
+    assert any(r.n_removed for r in got)
+
+
 # 9
 
 
