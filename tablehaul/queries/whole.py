@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablehaul.operators.dump_writer import insert_statements, row_tuple
+from tablehaul.operators.dump_writer import dump_name, insert_statements, row_tuple, write_dump
 from tablehaul.operators.restore_whole import (
     PROBLEM_DROPPED,
     PROBLEM_STATEMENT,
@@ -19,6 +19,7 @@ from tablehaul.operators.restore_whole import (
 from tablehaul.queries.views import TABLES, table
 from tablehaul.session import fresh_dir
 from tablehaul.sources.ddl import create_table
+from tablehaul.sources.dump_source import DumpSource
 
 #: Files of a mixed dump, each with statements of all its tables; every second one is compressed.
 FILES = 6
@@ -158,5 +159,29 @@ SELECT problem, n, CASE WHEN kind < 3 THEN n ELSE 0 END AS with_file FROM (
 ) WHERE n > 0
 """
 
-QUERIES = {"restore_mixed": restore_mixed, "restore_foreign_forms": restore_foreign_forms, "dump_problems": dump_problems}
-ORACLES = {"restore_mixed": MIXED_SQL, "restore_foreign_forms": FOREIGN_SQL, "dump_problems": PROBLEMS_SQL}
+def dump_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chosen columns of one of two tables in a folder of dumps, plain and indexed gzip, through the data source."""
+    folder = fresh_dir(spark, "source")
+    for name, options in (("lineitem", {"block_bytes": 1 << 20}), ("orders", {})):
+        path = f"{folder}/{dump_name(name, 'shop', bool(options))}"
+        write_dump(table(spark, sf_dir, name), path, "shop", name, buffer_bytes=1 << 18, **options)
+    spark.dataSource.register(DumpSource)
+    schema = table(spark, sf_dir, "lineitem").select(*SOURCE_COLUMNS).schema
+    return spark.read.format("sqldump").schema(schema).option("table", "lineitem").option("splitBytes", 1 << 20).load(folder)
+
+
+SOURCE_COLUMNS = ["l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice", "l_returnflag"]
+SOURCE_SQL = f"SELECT {', '.join(SOURCE_COLUMNS)} FROM lineitem"
+
+QUERIES = {
+    "restore_mixed": restore_mixed,
+    "restore_foreign_forms": restore_foreign_forms,
+    "dump_problems": dump_problems,
+    "dump_source": dump_source,
+}
+ORACLES = {
+    "restore_mixed": MIXED_SQL,
+    "restore_foreign_forms": FOREIGN_SQL,
+    "dump_problems": PROBLEMS_SQL,
+    "dump_source": SOURCE_SQL,
+}
