@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablehaul.operators import ledger
+from tablehaul.operators import ledger, versions
 from tablehaul.queries import views
 from tablehaul.queries.inventory import TASKS, tasks
 from tablehaul.queries.views import oracle, table
@@ -143,6 +146,39 @@ LEDGER_SQL = oracle(
 FROM (SELECT *, {IS_DONE} AS d FROM ({TASKS}) t) m GROUP BY 1""",
 )
 
+def ledger_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two writers at a time, a second record of each third item, a compaction: what each version holds."""
+    path = fresh_dir(spark, "versions")
+    items = tasks(spark, sf_dir)
+    part = F.col("file_id") % 3
+    day = lambda n: F.lit(f"2024-02-0{n} 00:00:00").cast("timestamp")
+    waves = [items.where(part == i).withColumn("finished_at", day(1)) for i in range(2)]
+    with ThreadPoolExecutor(2) as writers:
+        first = max(writers.map(lambda wave: versions.append(wave, path), waves))
+    again = versions.append(items.where(part != 0).withColumn("finished_at", day(2)), path)
+    compacted = versions.compact(spark, path)
+    seen = {"first": first, "again": again, "compacted": compacted}
+    held = [versions.read(spark, path, v).withColumn("seen_at", F.lit(name)) for name, v in seen.items()]
+    held.append(versions.changes(spark, path, first).withColumn("seen_at", F.lit("change")))
+    rows = reduce(DataFrame.unionByName, held)
+    return rows.select("seen_at", "database", "relative_path", "file_name", "size_bytes", F.col("finished_at").cast("timestamp_ntz").alias("finished_at"))
+
+
+_SEEN = [
+    ("first", "file_id % 3 < 2", "1"),
+    ("again", "true", "CASE WHEN file_id % 3 = 0 THEN 1 ELSE 2 END"),
+    ("compacted", "true", "CASE WHEN file_id % 3 = 0 THEN 1 ELSE 2 END"),
+    ("change", "file_id % 3 <> 0", "2"),
+]
+VERSIONS_SQL = oracle(
+    "inv",
+    "\nUNION ALL\n".join(
+        f"""SELECT '{name}' AS seen_at, database, path AS relative_path, file_name, size_bytes,
+  CAST('2024-02-01' AS TIMESTAMP) + INTERVAL 1 DAY * ({day} - 1) AS finished_at FROM ({TASKS}) t WHERE {which}"""
+        for name, which, day in _SEEN
+    ),
+)
+
 QUERIES = {
     "manifest_load": manifest_load,
     "manifest_entries": manifest_entries,
@@ -153,6 +189,7 @@ QUERIES = {
     "database_breakdown": database_breakdown,
     "missing_databases": missing_databases,
     "ledger_append": ledger_append,
+    "ledger_versions": ledger_versions,
 }
 ORACLES = {
     "manifest_load": LOAD_SQL,
@@ -182,4 +219,5 @@ GROUP BY database HAVING count(*) FILTER (NOT d) > 0""",
   (SELECT lower(concat('SHOP_', c_custkey % 3)) FROM customer)""",
     ),
     "ledger_append": LEDGER_SQL,
+    "ledger_versions": VERSIONS_SQL,
 }
