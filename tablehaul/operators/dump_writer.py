@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tablehaul.functions.sqltext import literal, quote_identifier
@@ -148,19 +148,24 @@ def write_dump(
     mode: str = "overwrite",
     block_bytes: int | None = None,
     **options,
-) -> None:
-    """Write a dump folder, in place of an older one of that name.
+) -> dict[str, int]:
+    """Write a dump folder, in place of an older one of that name; returns the ``rows`` and ``text_bytes`` written.
 
     With ``block_bytes``, as indexed gzip: members of about so much text, which tasks can read on their own.
 
     Uncommitted parts of a failed job are removed or stay hidden, so a run that
     is tried again can use the same path.
     """
-    text = dump_text(df, database, table, **options)
+    # Both are counted by the tasks as they write: no second pass, whatever the table's own statistics say.
+    rows, lines = Observation(), Observation()
+    counted = df.observe(rows, F.count(F.lit(1)).alias("rows"))
+    text = dump_text(counted, database, table, **options)
+    text = text.observe(lines, F.sum(F.octet_length("value") + F.lit(1).cast("bigint")).alias("text_bytes"))
     if block_bytes is not None:
         write_indexed(text, path, block_bytes, mode)
-        return
-    writer = text.write.mode(mode)
-    if compress:
-        writer = writer.option("compression", "gzip")
-    writer.text(path)
+    else:
+        writer = text.write.mode(mode)
+        if compress:
+            writer = writer.option("compression", "gzip")
+        writer.text(path)
+    return {"rows": rows.get["rows"] if options.get("rows", True) else 0, "text_bytes": lines.get["text_bytes"]}

@@ -76,10 +76,25 @@ def run_export(
     log = EventLog(overlap)
 
     def one(task) -> None:
-        with log.item(task.database, task.file_name, task.output_path, task.estimated_bytes):
+        with log.item(task.database, task.file_name, task.output_path, task.estimated_bytes) as written:
             df = read_table(task.database, task.table_name)
-            write_dump(df, task.output_path, task.database, task.table_name, compress, **options)
+            written |= write_dump(df, task.output_path, task.database, task.table_name, compress, **options)
 
     with ThreadPoolExecutor(max_workers=max(1, overlap)) as pool:
         list(pool.map(one, plan.toLocalIterator()))
     return log.events(spark)
+
+
+def export_report(plan: DataFrame, events: DataFrame) -> DataFrame:
+    """Every planned table with its estimates, what was written in truth, and its state.
+
+    ``written_rows`` and ``written_bytes`` (of text, before compression) are null unless the table was finished; ``state`` is
+    the last event's kind, ``pending`` for a table without any. A table written twice counts as written last.
+    """
+    told = F.struct("event_id", "kind", "written_rows", "written_bytes", "message")
+    last = events.groupBy(F.col("file_path").alias("output_path")).agg(F.max(told).alias("e"))
+    return plan.join(last, "output_path", "left").select(
+        "database", "table_name", "output_path", "estimated_rows", "estimated_bytes",
+        F.col("e.written_rows").alias("written_rows"), F.col("e.written_bytes").alias("written_bytes"),
+        F.coalesce("e.kind", F.lit("pending")).alias("state"), F.col("e.message").alias("message"),
+    )

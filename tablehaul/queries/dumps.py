@@ -17,7 +17,7 @@ from tablehaul.operators.dump_writer import (
 )
 from tablehaul.operators.reconcile import reconcile
 from tablehaul.operators.restore import restore
-from tablehaul.plans.export import run_export
+from tablehaul.plans.export import export_plan, export_report, run_export
 from tablehaul.plans.imports import candidates, import_plan, run_import
 from tablehaul.queries.views import TABLES, table
 from tablehaul.session import fresh_dir
@@ -209,8 +209,6 @@ RECONCILE_SQL = "\nUNION ALL\n".join(
 
 def migration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A whole move: plan and write an export, list it, import it, count both sides."""
-    from tablehaul.plans.export import export_plan
-
     dumps, target, ledger = (fresh_dir(spark, label) for label in ("export", "import", "ledger"))
     catalog = parquet_tables(spark, sf_dir, DATABASE)
     plan = export_plan(catalog, dumps, compress=True, databases=DATABASE)
@@ -229,6 +227,25 @@ MIGRATION_SQL = "\nUNION ALL\n".join(
     for t in TABLES
 )
 
+def export_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An export of all tables: rows and bytes counted while writing, beside the estimates and what the files hold."""
+    dumps = fresh_dir(spark, "report")
+    plan = export_plan(parquet_tables(spark, sf_dir, DATABASE), dumps, compress=True, databases=DATABASE)
+    events = run_export(spark, plan, lambda _, name: table(spark, sf_dir, name), compress=True)
+    report = export_report(plan, events)
+    folder = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/[^/]+$", 1)
+    lines = spark.read.option("recursiveFileLookup", "true").text(dumps).select(folder.alias("folder"), (F.octet_length("value") + 1).alias("n"))
+    held = lines.groupBy("folder").agg(F.sum("n").alias("held_bytes"))
+    both = report.withColumn("folder", F.substring_index("output_path", "/", -1)).join(held, "folder", "left")
+    same = F.col("written_bytes").eqNullSafe(F.col("held_bytes"))
+    return both.select("table_name", "state", "estimated_rows", "written_rows", same.alias("bytes_as_held"))
+
+
+WRITTEN_SQL = "\nUNION ALL\n".join(
+    f"SELECT '{t}' AS table_name, 'finished' AS state, count(*) AS estimated_rows, count(*) AS written_rows, true AS bytes_as_held FROM {t}"
+    for t in TABLES
+)
+
 QUERIES = {f"roundtrip_{t}": roundtrip(t, False) for t in TABLES}
 QUERIES |= {f"roundtrip_{t}_gz": roundtrip(t, True) for t in TABLES}
 QUERIES |= {
@@ -243,6 +260,7 @@ QUERIES |= {
     "insert_batches": insert_batches,
     "roundtrip_reconcile": roundtrip_reconcile,
     "migration": migration,
+    "export_report": export_written,
 }
 ORACLES = {f"roundtrip_{t}{end}": f"SELECT * FROM {t}" for t in TABLES for end in ("", "_gz")}
 ORACLES |= {
@@ -257,4 +275,5 @@ ORACLES |= {
     "insert_batches": INSERT_SQL,
     "roundtrip_reconcile": RECONCILE_SQL,
     "migration": MIGRATION_SQL,
+    "export_report": WRITTEN_SQL,
 }
