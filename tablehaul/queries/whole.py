@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tablehaul.operators.dump_writer import dump_name, insert_statements, row_tuple, write_dump
@@ -21,8 +21,9 @@ from tablehaul.session import fresh_dir
 from tablehaul.sources.ddl import create_table
 from tablehaul.sources.dump_source import DumpSource
 
-#: Files of a mixed dump, each with statements of all its tables; every second one is compressed.
+#: Files of a dump made here, at least, and the text in one of them: more rows make more files, not longer ones.
 FILES = 6
+FILE_BYTES = 64 << 20
 BUFFER_BYTES = 1 << 16
 
 
@@ -61,18 +62,34 @@ def _checked(database: str, name: str, numbers: list[str], first_index: int) ->
     return f"SELECT '{database}' AS database_name, '{name}' AS table_name, count(*) AS n_rows, CAST(sum({total}) AS BIGINT) AS checksum"
 
 
+def _dealt(spark: SparkSession, rows: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """Rows with a ``value``, each with the ``file`` it goes to, and how many files there are.
+
+    The rows are written once, which tells their bytes. They are dealt out by their place and not by their text, so copies spread too.
+    """
+    kept, size = fresh_dir(spark, f"{label}-text"), Observation()
+    counted = rows.observe(size, F.sum(F.octet_length("value").cast("bigint")).alias("bytes"))
+    counted.withColumn("place", F.monotonically_increasing_id()).write.parquet(kept)
+    files = max(FILES, -(-(size.get["bytes"] or 0) // FILE_BYTES))
+    file = F.pmod(F.xxhash64("place"), F.lit(files)).cast("int")
+    return spark.read.parquet(kept).select(*rows.columns, file.alias("file")), files
+
+
 def _mixed(spark: SparkSession, sf_dir: str) -> str:
-    """A folder of files, each with a section of statements for every table, under ``USE``."""
+    """A folder of files, each with a section of statements for every table, under ``USE``; every second one is compressed."""
     sections = [("shop", name, name) for name in TABLES] + [SECOND]
-    parts = []
+    written = [
+        insert_statements(table(spark, sf_dir, source), name, BUFFER_BYTES).withColumn("section", F.lit(i)) for i, (_, name, source) in enumerate(sections)
+    ]
+    dealt, files = _dealt(spark, reduce(DataFrame.unionByName, written), "mixed")
+    parts = [dealt.withColumn("step", F.lit(2))]
     for i, (database, name, source) in enumerate(sections):
         df = table(spark, sf_dir, source)
-        rows = insert_statements(df, name, BUFFER_BYTES).withColumn("file", F.pmod(F.xxhash64("value"), F.lit(FILES)).cast("int"))
-        heads = spark.range(0, FILES, 1, 1).select(F.concat(F.lit(f"-- section {i}\nUSE `{database}`;")).alias("value"), F.col("id").cast("int").alias("file"))
+        heads = spark.range(0, files, 1, 1).select(F.concat(F.lit(f"-- section {i}\nUSE `{database}`;")).alias("value"), F.col("id").cast("int").alias("file"))
         ddl = spark.range(0, 1, 1, 1).select(F.lit(create_table(name, df.schema)).alias("value"), F.lit(0).alias("file"))
-        for step, piece in enumerate((heads, ddl, rows)):
+        for step, piece in enumerate((heads, ddl)):
             parts.append(piece.select("value", "file", F.lit(i).alias("section"), F.lit(step).alias("step")))
-    text = reduce(DataFrame.unionByName, parts).repartition(FILES, "file").sortWithinPartitions("file", "section", "step")
+    text = reduce(DataFrame.unionByName, parts).repartitionById(files, "file").sortWithinPartitions("section", "step")
     path = fresh_dir(spark, "mixed")
     text.where("file % 2 = 0").select("value").write.text(f"{path}/plain")
     text.where("file % 2 = 1").select("value").write.option("compression", "gzip").text(f"{path}/packed")
