@@ -113,10 +113,11 @@ MIXED_SQL = "\nUNION ALL\n".join(
 
 def _in_files(spark: SparkSession, rows: DataFrame, first: str, label: str) -> str:
     """``value`` in files that each begin with ``first``, which the first file follows up with ``ddl``."""
-    heads = spark.range(0, FILES, 1, 1).select(F.lit(first).alias("value"), F.col("id").cast("int").alias("file"), F.lit(0).alias("step"))
-    dealt = rows.withColumn("file", F.pmod(F.xxhash64("value"), F.lit(FILES)).cast("int")).withColumn("step", F.lit(1))
+    dealt, files = _dealt(spark, rows, label)
+    heads = spark.range(0, files, 1, 1).select(F.lit(first).alias("value"), F.col("id").cast("int").alias("file"), F.lit(0).alias("step"))
     path = fresh_dir(spark, label)
-    heads.unionByName(dealt).repartition(FILES, "file").sortWithinPartitions("file", "step").select("value").write.text(path)
+    text = heads.unionByName(dealt.withColumn("step", F.lit(1)))
+    text.repartitionById(files, "file").sortWithinPartitions("step").select("value").write.text(path)
     return path
 
 

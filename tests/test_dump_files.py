@@ -24,3 +24,13 @@ def test_mixed_files_stay_short(spark, monkeypatch):
     assert all(t.count(b"USE `") == len(TABLES) + 1 for t in found)  # a section for every table, each file its own
     rows = restore_whole(spark, folder).read("shop", "lineitem")
     assert rows.count() == whole.table(spark, SF_DIR, "lineitem").count()
+
+
+def test_copies_of_a_statement_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(whole, "FILE_BYTES", 10_000)
+    rows = spark.range(0, 5000, 1, 4).selectExpr("'INSERT INTO `t` VALUES (1);' AS value")
+    folder = whole._in_files(spark, rows, "CREATE TABLE `t` (`id` INT);", "copies")
+    found = texts(folder)
+    assert len(found) == 14 and max(map(len, found)) < 20_000
+    assert all(t.startswith(b"CREATE TABLE") and t.count(b"CREATE") == 1 for t in found)
+    assert restore_whole(spark, folder).read(None, "t").count() == 5000
