@@ -16,6 +16,8 @@ from tablehaul.sources.indexed_gzip import write_indexed
 
 # Fixed value: default statement buffer, 1M.
 NET_BUFFER_LENGTH = 1024 * 1024
+#: Text that leaves a task's Python at a time.
+OUT_BYTES = 1024 * 1024
 
 
 def header_lines(host: str, database: str) -> list[str]:
@@ -39,24 +41,33 @@ def _statements(prefix: str, header: str, buffer_bytes: int):
     """Batch function that packs row tuples into statements of ``buffer_bytes``.
 
     Runs per Arrow batch: running byte ends by numpy, one search per statement,
-    joins by Arrow. What carries over between batches is the open statement,
-    which is smaller than the buffer.
+    joins by Arrow. Statements leave in batches of about a megabyte. What carries
+    over between batches is a copy of the open statement, which is smaller than the
+    buffer, so no batch outlives its turn.
     """
 
-    def close(parts: list[pa.Array]) -> str:
+    def close(parts: list[pa.Array]) -> pa.Array:
         tuples = pa.concat_arrays(parts)
         listed = pa.ListArray.from_arrays(pa.array([0, len(tuples)], pa.int32()), tuples)
-        return prefix + pc.binary_join(listed, ",")[0].as_py() + ";"
+        return pc.binary_join_element_wise(pa.scalar(prefix), pc.binary_join(listed, ","), pa.scalar(";"), "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[pa.Array] = []
         used = 0
+        out: list[pa.Array] = []
+        held = 0
         started = False
+
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.concat_arrays(out)], ["value"])
+
         for batch in batches:
             tuples = batch.column(0)
+            del batch
             if not len(tuples):
                 continue
-            out = [] if started else [header]
+            if not started:
+                out.append(pa.array([header], pa.string()))
             started = True
             ends = np.cumsum(pc.binary_length(tuples).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
             first = 0
@@ -71,12 +82,24 @@ def _statements(prefix: str, header: str, buffer_bytes: int):
                     used += int(ends[last - 1]) - base
                 if last < len(tuples):
                     out.append(close(parts))
+                    held += used
                     parts, used = [], 0
+                    if held >= OUT_BYTES:
+                        yield told()
+                        out, held = [], 0
                 first = last
+            if parts:
+                parts[-1] = parts[-1].take(pa.array(np.arange(len(parts[-1]))))
+            del tuples
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+                yield told()
+                out, held = [], 0
         if parts:
-            yield pa.RecordBatch.from_arrays([pa.array([close(parts)], pa.string())], ["value"])
+            out.append(close(parts))
+            yield told()
+        parts.clear()
+        out.clear()
+        pa.default_memory_pool().release_unused()  # the worker waits for other tasks
 
     return run
 
