@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tablehaul.functions.sqltext import literal, quote_identifier
 from tablehaul.sources.ddl import create_table
-from tablehaul.sources.indexed_gzip import write_indexed
+from tablehaul.sources.indexed_gzip import write_indexed_pieces
 
 # Fixed value: default statement buffer, 1M.
 NET_BUFFER_LENGTH = 1024 * 1024
@@ -112,12 +112,16 @@ def insert_statements(
     Narrow: each partition packs its own rows in the order it has them, so a
     table of any size is rendered without a shuffle, and a hot key cannot matter.
     """
+    tuples, run = _packing(df, table, buffer_bytes, header)
+    return tuples.mapInArrow(run, "value string")
+
+
+def _packing(df: DataFrame, table: str, buffer_bytes: int, header: str | None):
+    """Row tuples, and the batch function that makes statements of them."""
     prefix = f"INSERT INTO {quote_identifier(table)} VALUES "
     tuples = df.select(row_tuple(df).alias("value"))
     run = _statements(prefix, header, buffer_bytes)
-    if header is None:
-        run = _without_first(run)
-    return tuples.mapInArrow(run, "value string")
+    return tuples, run if header is not None else _without_first(run)
 
 
 def _without_first(run):
@@ -146,14 +150,28 @@ def dump_text(
     Every part begins with the header, but only the first drops and creates the
     table: feeding the parts to a client in name order keeps all rows.
     """
+    pieces = [made if run is None else made.mapInArrow(run, "value string") for made, run in _pieces(df, database, table, host, structure, rows, buffer_bytes)]
+    return pieces[0] if len(pieces) == 1 else pieces[0].unionAll(pieces[1])
+
+
+def _pieces(
+    df: DataFrame,
+    database: str,
+    table: str,
+    host: str = "localhost",
+    structure: bool = True,
+    rows: bool = True,
+    buffer_bytes: int = NET_BUFFER_LENGTH,
+) -> list[tuple]:
+    """The pieces of a dump's text, each with the batch function that makes lines of it, if any."""
     spark = df.sparkSession
     header = "\n".join(header_lines(host, database))
     pieces = []
     first = header + ("\n" + create_table(table, df.schema) if structure else "")
-    pieces.append(spark.range(0, 1, 1, 1).select(F.lit(first).alias("value")))
+    pieces.append((spark.range(0, 1, 1, 1).select(F.lit(first).alias("value")), None))
     if rows:
-        pieces.append(insert_statements(df, table, buffer_bytes, header))
-    return pieces[0] if len(pieces) == 1 else pieces[0].unionAll(pieces[1])
+        pieces.append(_packing(df, table, buffer_bytes, header))
+    return pieces
 
 
 def dump_name(table: str, database: str | None = None, compress: bool = False) -> str:
@@ -182,13 +200,15 @@ def write_dump(
     # Both are counted by the tasks as they write: no second pass, whatever the table's own statistics say.
     rows, lines = Observation(), Observation()
     counted = df.observe(rows, F.count(F.lit(1)).alias("rows"))
-    text = dump_text(counted, database, table, **options)
-    text = text.observe(lines, F.sum(F.octet_length("value") + F.lit(1).cast("bigint")).alias("text_bytes"))
     if block_bytes is not None:
-        write_indexed(text, path, block_bytes, mode)
+        # Statements are packed and compressed by one worker: they don't go through the JVM in between.
+        text_bytes = write_indexed_pieces(_pieces(counted, database, table, **options), path, block_bytes, mode)
     else:
+        text = dump_text(counted, database, table, **options)
+        text = text.observe(lines, F.sum(F.octet_length("value") + F.lit(1).cast("bigint")).alias("text_bytes"))
         writer = text.write.mode(mode)
         if compress:
             writer = writer.option("compression", "gzip")
         writer.text(path)
-    return {"rows": rows.get["rows"] if options.get("rows", True) else 0, "text_bytes": lines.get["text_bytes"]}
+        text_bytes = lines.get["text_bytes"]
+    return {"rows": rows.get["rows"] if options.get("rows", True) else 0, "text_bytes": text_bytes}

@@ -12,6 +12,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -55,8 +56,8 @@ def _write(path: str, block_bytes: int, level: int):
             held, used = [], 0
 
         for batch in batches:
-            for value in batch.column(0).cast(pa.binary()).to_pylist():
-                held.append(value or b"")
+            for value in batch.column(0).cast(pa.binary()):
+                held.append(value.as_py() or b"")
                 used += len(held[-1]) + 1
                 if used >= block_bytes:
                     close()
@@ -85,15 +86,29 @@ def write_indexed(text: DataFrame, path: str, block_bytes: int = BLOCK_BYTES, mo
     Files are written hidden and shown by a second job once all tasks have ended; the index comes
     last, so a folder without one is a write that did not end. Lines that a partition doesn't have make no file.
     """
-    spark = text.sparkSession
+    write_indexed_pieces([(text, None)], path, block_bytes, mode, level)
+
+
+def write_indexed_pieces(pieces: list[tuple], path: str, block_bytes: int = BLOCK_BYTES, mode: str = "overwrite", level: int = 6) -> int:
+    """As ``write_indexed``, for DataFrames that each come with the batch function which makes lines of them (or None).
+
+    Both steps are one task function. Returns the bytes of text written.
+    """
+    spark = pieces[0][0].sparkSession
     path = path.rstrip("/")
+    write = _write(path, block_bytes, level)
+
+    def after(run):
+        return write if run is None else lambda batches: write(run(batches))
+
     # An empty write clears an older folder, or fails if the mode forbids that.
     spark.createDataFrame([], "value string").write.mode(mode).text(path)
     waiting = fresh_dir(spark, "blocks")
-    text.mapInArrow(_write(path, block_bytes, level), BLOCKS).write.parquet(waiting)
+    reduce(DataFrame.unionAll, [text.mapInArrow(after(run), BLOCKS) for text, run in pieces]).write.parquet(waiting)
     blocks = spark.read.schema(BLOCKS).parquet(waiting)
     blocks.select("file").distinct().mapInArrow(_show(path), "file string").write.format("noop").mode("overwrite").save()
     blocks.write.mode("overwrite").parquet(f"{path}/{INDEX}")
+    return blocks.agg(F.coalesce(F.sum("text_bytes"), F.lit(0))).first()[0]
 
 
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
