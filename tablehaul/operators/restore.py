@@ -16,6 +16,7 @@ def restore(
     table: str | None = None,
     spread: int | None = None,
     mode: str = "overwrite",
+    schemas: dict[str, T.StructType] | None = None,
 ) -> None:
     """Restore a dump to Parquet at ``target``, one pass over the text.
 
@@ -23,9 +24,9 @@ def restore(
     commit then never happens: no half-filled table is left to be read.
     ``quarantine`` shows what was wrong. As a dump drops its table first, a
     table already at ``target`` is replaced; ``mode="append"`` suits a dump of
-    rows only.
+    rows only. ``schemas`` as for ``read_dump``.
     """
-    read_dump(spark, path, schema, table, spread).write.mode(mode).parquet(target)
+    read_dump(spark, path, schema, table, spread, schemas).write.mode(mode).parquet(target)
 
 
 def restore_as_table(spark: SparkSession, path: str, database: str, table: str, spread: int | None = None) -> None:

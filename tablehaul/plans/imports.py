@@ -76,7 +76,8 @@ def run_import(
         with log.item(task.database, task.file_name, task.path, task.size_bytes):
             zipped = task.file_name.lower().endswith(".gz")
             spread = cores if zipped and task.parts < cores else None
-            names = sorted(read_schemas(spark, task.path))
+            schemas = read_schemas(spark, task.path)
+            names = sorted(schemas)
             if not names:
                 raise ValueError(f"no CREATE TABLE in {task.path}")
             targets = [f"{target_dir.rstrip('/')}/{task.database}/{_folder(name)}" for name in names]
@@ -85,7 +86,7 @@ def run_import(
                     if claimed.setdefault(target, task.path) != task.path:
                         raise ValueError(f"{target} is restored from {claimed[target]} in this run")
             for name, target in zip(names, targets):
-                restore(spark, task.path, target, table=name, spread=spread)
+                restore(spark, task.path, target, table=name, spread=spread, schemas=schemas)
             if ledger is not None:
                 now = datetime.now(timezone.utc)
                 row = [(task.database, task.relative_path, task.file_name, task.size_bytes, now)]

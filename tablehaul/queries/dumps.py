@@ -212,7 +212,7 @@ def migration(spark: SparkSession, sf_dir: str) -> DataFrame:
     dumps, target, ledger = (fresh_dir(spark, label) for label in ("export", "import", "ledger"))
     catalog = parquet_tables(spark, sf_dir, DATABASE)
     plan = export_plan(catalog, dumps, compress=True, databases=DATABASE)
-    wrote = run_export(spark, plan, lambda _, name: table(spark, sf_dir, name), compress=True)
+    wrote = run_export(spark, plan, lambda _, name: spread_out(table(spark, sf_dir, name)), compress=True)
     restored = run_import(spark, import_plan(candidates(spark, dumps)), target, ledger)
     failed = wrote.unionAll(restored).where(F.col("kind") == "failed")
     counted = parquet_tables(spark, f"{target}/{DATABASE}", DATABASE)
