@@ -112,11 +112,11 @@ def insert_statements(
     Narrow: each partition packs its own rows in the order it has them, so a
     table of any size is rendered without a shuffle, and a hot key cannot matter.
     """
-    tuples, run = _packing(df, table, buffer_bytes, header)
+    tuples, run = packing(df, table, buffer_bytes, header)
     return tuples.mapInArrow(run, "value string")
 
 
-def _packing(df: DataFrame, table: str, buffer_bytes: int, header: str | None):
+def packing(df: DataFrame, table: str, buffer_bytes: int, header: str | None = None):
     """Row tuples, and the batch function that makes statements of them."""
     prefix = f"INSERT INTO {quote_identifier(table)} VALUES "
     tuples = df.select(row_tuple(df).alias("value"))
@@ -170,7 +170,7 @@ def _pieces(
     first = header + ("\n" + create_table(table, df.schema) if structure else "")
     pieces.append((spark.range(0, 1, 1, 1).select(F.lit(first).alias("value")), None))
     if rows:
-        pieces.append(_packing(df, table, buffer_bytes, header))
+        pieces.append(packing(df, table, buffer_bytes, header))
     return pieces
 
 

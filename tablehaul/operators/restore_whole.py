@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablehaul.functions.sqltext import is_null_token, value_of
-from tablehaul.session import fresh_dir
+from tablehaul.session import fresh_dir, holding
 from tablehaul.sources.ddl import parse_create_table
 from tablehaul.sources.dump_reader import (
     BINARY_FIELD,
@@ -64,6 +64,10 @@ for _column, _type in (
     ("kind", T.StringType()), ("database", T.StringType()), ("table", T.StringType()),
 ):
     STAGED = STAGED.add(_column, _type)
+#: Staged rows stand beside the dump itself, so they are packed tightly.
+STAGED_FORM = {"compression": "zstd", "parquet.writer.version": "PARQUET_2_0"}
+#: Tables that a task writes at a time without sorting its rows by table; beyond so many the rest are sorted.
+OPEN_TABLES = {"spark.sql.maxConcurrentOutputFileWriters": "64"}
 
 
 def _name(found: Column) -> Column:
@@ -178,13 +182,16 @@ class Whole:
 def stage_whole(spark: SparkSession, path: str | list[str]) -> Whole:
     """Route a dump's statements by (database, table) into one staged table; nothing fails but text that cannot be read."""
     target = fresh_dir(spark, "whole")
-    partitions = ("kind", "database", "table")
-    _staged(statements(spark, path)).write.partitionBy(*partitions).parquet(target)
+
+    def write(rows: DataFrame) -> None:
+        with holding(spark, OPEN_TABLES):
+            _staged(rows).write.mode("append").partitionBy("kind", "database", "table").options(**STAGED_FORM).parquet(target)
+
+    write(statements(spark, path))
     whole = Whole(spark, target, {})
     cut = whole.staged("fragment")
     if not cut.isEmpty():
-        more = _staged(joined(cut.select("file", "start", "no", "database", "text", "fragment", "unfinished")))
-        more.write.mode("append").partitionBy(*partitions).parquet(target)
+        write(joined(cut.select("file", "start", "no", "database", "text", "fragment", "unfinished")))
     for row in whole.staged("create").select("database", "table", "text").distinct().collect():
         _, schema = parse_create_table(row.text)
         if whole.tables.setdefault((row["database"], row["table"]), schema) != schema:

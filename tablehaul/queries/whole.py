@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablehaul.operators.dump_writer import dump_name, insert_statements, row_tuple, write_dump
+from tablehaul.operators.dump_writer import OUT_BYTES, dump_name, packing, row_tuple, write_dump
 from tablehaul.operators.restore_whole import (
     PROBLEM_DROPPED,
     PROBLEM_STATEMENT,
@@ -17,7 +19,7 @@ from tablehaul.operators.restore_whole import (
     stage_whole,
 )
 from tablehaul.queries.views import TABLES, table
-from tablehaul.session import fresh_dir
+from tablehaul.session import NO_SHUFFLE_KEPT, fresh_dir, holding
 from tablehaul.sources.ddl import create_table
 from tablehaul.sources.dump_source import DumpSource
 
@@ -62,37 +64,72 @@ def _checked(database: str, name: str, numbers: list[str], first_index: int) ->
     return f"SELECT '{database}' AS database_name, '{name}' AS table_name, count(*) AS n_rows, CAST(sum({total}) AS BIGINT) AS checksum"
 
 
-def _dealt(spark: SparkSession, rows: DataFrame, label: str) -> tuple[DataFrame, int]:
-    """Rows with a ``value``, each with the ``file`` it goes to, and how many files there are.
+def _file_count(text_bytes: int | None, least: int) -> int:
+    return max(least, -(-(text_bytes or 0) // FILE_BYTES))
 
-    The rows are written once, which tells their bytes. They are dealt out by their place and not by their text, so copies spread too.
-    """
-    kept, size = fresh_dir(spark, f"{label}-text"), Observation()
-    counted = rows.observe(size, F.sum(F.octet_length("value").cast("bigint")).alias("bytes"))
-    counted.withColumn("place", F.monotonically_increasing_id()).write.parquet(kept)
-    files = max(FILES, -(-(size.get["bytes"] or 0) // FILE_BYTES))
+
+def _dealt(rows: DataFrame, files: int) -> DataFrame:
+    """Rows, each with the ``file`` it goes to. They are dealt out by their place and not by their text, so copies spread too."""
     file = F.pmod(F.xxhash64("place"), F.lit(files)).cast("int")
-    return spark.read.parquet(kept).select(*rows.columns, file.alias("file")), files
+    return rows.withColumn("place", F.monotonically_increasing_id()).select(*rows.columns, file.alias("file"))
+
+
+def _packed(run):
+    """Batch function whose statements leave compressed: on their way to their file they take about a third of their text."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd")
+        for batch in run(batches):
+            texts = [v.as_buffer() for v in batch.column(0).cast(pa.binary())]
+            packed = pa.array([codec.compress(t, asbytes=True) for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([packed, pa.array([t.size for t in texts], pa.int32())], names=["packed", "size"])
+
+    return pack
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Text that is there as such, or else as ``_packed`` left it; about a megabyte leaves at a time."""
+    codec = pa.Codec("zstd")
+    for batch in batches:
+        out: list[str] = []
+        held = 0
+        for value, packed, size in zip(*batch.columns):
+            out.append(value.as_py() if value.is_valid else codec.decompress(packed.as_buffer(), size.as_py(), asbytes=True).decode())
+            held += len(out[-1])
+            if held >= OUT_BYTES:
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+                out, held = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
 
 
 def _mixed(spark: SparkSession, sf_dir: str) -> str:
-    """A folder of files, each with a section of statements for every table, under ``USE``; every second one is compressed."""
+    """A folder of files, each with a section of statements for every table, under ``USE``; every second one is compressed.
+
+    The plain files and the compressed ones are written one after the other, each from its half of every table's rows. Rows
+    are rendered twice, once to count their bytes; no copy of the text is kept beside the files.
+    """
     sections = [("shop", name, name) for name in TABLES] + [SECOND]
-    written = [
-        insert_statements(table(spark, sf_dir, source), name, BUFFER_BYTES).withColumn("section", F.lit(i)) for i, (_, name, source) in enumerate(sections)
-    ]
-    dealt, files = _dealt(spark, reduce(DataFrame.unionByName, written), "mixed")
-    parts = [dealt.withColumn("step", F.lit(2))]
-    for i, (database, name, source) in enumerate(sections):
-        df = table(spark, sf_dir, source)
-        heads = spark.range(0, files, 1, 1).select(F.concat(F.lit(f"-- section {i}\nUSE `{database}`;")).alias("value"), F.col("id").cast("int").alias("file"))
-        ddl = spark.range(0, 1, 1, 1).select(F.lit(create_table(name, df.schema)).alias("value"), F.lit(0).alias("file"))
-        for step, piece in enumerate((heads, ddl)):
-            parts.append(piece.select("value", "file", F.lit(i).alias("section"), F.lit(step).alias("step")))
-    text = reduce(DataFrame.unionByName, parts).repartitionById(files, "file").sortWithinPartitions("section", "step")
+    tables = [table(spark, sf_dir, source) for _, _, source in sections]
+    halves = [F.pmod(F.xxhash64(*map(F.col, df.columns)), F.lit(2)) for df in tables]
+    lengths = [df.select(half.alias("half"), (F.octet_length(row_tuple(df)) + 1).cast("bigint").alias("bytes")) for df, half in zip(tables, halves)]
+    counted = {r.half: r.bytes for r in reduce(DataFrame.unionByName, lengths).groupBy("half").agg(F.sum("bytes").alias("bytes")).collect()}
     path = fresh_dir(spark, "mixed")
-    text.where("file % 2 = 0").select("value").write.text(f"{path}/plain")
-    text.where("file % 2 = 1").select("value").write.option("compression", "gzip").text(f"{path}/packed")
+    for place, (form, options) in enumerate((("plain", {}), ("packed", {"compression": "gzip"}))):
+        files = _file_count(counted.get(place), FILES // 2)
+        written, parts = [], []
+        for i, ((database, name, _), df, half) in enumerate(zip(sections, tables, halves)):
+            tuples, run = packing(df.where(half == place), name, BUFFER_BYTES)
+            written.append(tuples.mapInArrow(_packed(run), "packed binary, size int").withColumn("section", F.lit(i)))
+            heads = spark.range(0, files, 1, 1).select(F.lit(f"-- section {i}\nUSE `{database}`;").alias("value"), F.col("id").cast("int").alias("file"))
+            ddl = spark.range(0, 1 - place, 1, 1).select(F.lit(create_table(name, df.schema)).alias("value"), F.lit(0).alias("file"))
+            for step, piece in enumerate((heads, ddl)):
+                parts.append(piece.select("value", "file", F.lit(i).alias("section"), F.lit(step).alias("step")))
+        parts.append(_dealt(reduce(DataFrame.unionByName, written), files).withColumn("step", F.lit(2)))
+        pieces = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        pieces = pieces.repartitionById(files, "file").sortWithinPartitions("section", "step")
+        with holding(spark, NO_SHUFFLE_KEPT):
+            pieces.select("value", "packed", "size").mapInArrow(_unpacked, "value string").write.options(**options).text(f"{path}/{form}")
     return path
 
 
@@ -113,11 +150,12 @@ MIXED_SQL = "\nUNION ALL\n".join(
 
 def _in_files(spark: SparkSession, rows: DataFrame, first: str, label: str) -> str:
     """``value`` in files that each begin with ``first``, which the first file follows up with ``ddl``."""
-    dealt, files = _dealt(spark, rows, label)
+    files = _file_count(rows.agg(F.sum(F.octet_length("value").cast("bigint"))).first()[0], FILES)
     heads = spark.range(0, files, 1, 1).select(F.lit(first).alias("value"), F.col("id").cast("int").alias("file"), F.lit(0).alias("step"))
     path = fresh_dir(spark, label)
-    text = heads.unionByName(dealt.withColumn("step", F.lit(1)))
-    text.repartitionById(files, "file").sortWithinPartitions("step").select("value").write.text(path)
+    text = heads.unionByName(_dealt(rows, files).withColumn("step", F.lit(1)))
+    with holding(spark, NO_SHUFFLE_KEPT):
+        text.repartitionById(files, "file").sortWithinPartitions("step").select("value").write.text(path)
     return path
 
 

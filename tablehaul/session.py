@@ -1,12 +1,17 @@
-"""Where a job may put tables it must read again."""
+"""Where a job may put tables it must read again, and settings that hold for some of its writes."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
+#: What a write shuffled leaves the disks as the write ends, not when the driver next collects its garbage.
+NO_SHUFFLE_KEPT = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
@@ -32,3 +37,19 @@ def shared_dir(spark: SparkSession) -> str:
 def fresh_dir(spark: SparkSession, label: str) -> str:
     """A path under the shared folder that no other call gets."""
     return f"{shared_dir(spark)}/tablehaul/{label}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def holding(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """Settings of the session inside the ``with``; afterwards they are as they were."""
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
