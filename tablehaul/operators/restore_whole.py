@@ -57,10 +57,13 @@ PROBLEM_UNFINISHED = "the text ends inside a string, a name or a comment"
 PROBLEM_DROPPED = "a table dropped after its rows"
 PROBLEM_COLUMNS = "the column list names a column twice or one the table lacks"
 
+#: A row's first tokens have staged columns of their own, in which like values meet and pack well; ``more`` has the rest.
+FIELDS = [f"field{i}" for i in range(24)]
 STAGED = T.StructType()
 for _column, _type in (
-    ("file", T.StringType()), ("start", T.LongType()), ("no", T.LongType()), ("columns", T.ArrayType(T.StringType())),
-    ("fields", T.ArrayType(T.StringType())), ("text", T.StringType()), ("unfinished", T.BooleanType()), ("fragment", T.LongType()),
+    ("file", T.StringType()), ("start", T.LongType()), ("no", T.LongType()), ("columns", T.ArrayType(T.StringType())), ("width", T.IntegerType()),
+    *((name, T.StringType()) for name in FIELDS), ("more", T.ArrayType(T.StringType())),
+    ("text", T.StringType()), ("unfinished", T.BooleanType()), ("fragment", T.LongType()),
     ("kind", T.StringType()), ("database", T.StringType()), ("table", T.StringType()),
 ):
     STAGED = STAGED.add(_column, _type)
@@ -102,8 +105,17 @@ def _staged(rows: DataFrame) -> DataFrame:
     cut = rows.select("*", F.explode(F.when(good, F.col("tuples")).otherwise(whole)).alias("tuple"))
     fields = F.when(F.col("tuple").isNotNull(), F.regexp_extract_all("tuple", F.lit(BINARY_FIELD), F.lit(0)))
     cut = cut.select("*", F.explode(F.array(fields)).alias("fields"))
-    kept = F.when(F.col("kind") != "rows", F.col("text")).alias("text")
-    return cut.select(*(kept if f.name == "text" else F.col(f"`{f.name}`") for f in STAGED.fields))
+    made = {name: F.get("fields", F.lit(i)) for i, name in enumerate(FIELDS)}
+    made["width"] = F.when(F.col("fields").isNotNull(), F.size("fields"))
+    made["more"] = F.when(F.size("fields") > len(FIELDS), F.slice("fields", len(FIELDS) + 1, F.size("fields")))
+    made["text"] = F.when(F.col("kind") != "rows", F.col("text"))
+    return cut.select(*(made.get(f.name, F.col(f"`{f.name}`")).alias(f.name) for f in STAGED.fields))
+
+
+def _fields() -> Column:
+    """A staged row's tokens as ``_staged`` had them."""
+    first = F.array(*FIELDS)
+    return F.when(F.col("width") > len(FIELDS), F.concat(first, F.col("more"))).otherwise(F.slice(first, 1, F.col("width")))
 
 
 @dataclass
@@ -122,7 +134,7 @@ class Whole:
         """Staged rows of a table with ``_fields`` in the table's order, and what is wrong with each."""
         schema = self.tables[database, table]
         names = [f.name.lower() for f in schema.fields]
-        rows = self.staged("rows").where(F.col("database").eqNullSafe(database) & (F.col("table") == table))
+        rows = self.staged("rows").where(F.col("database").eqNullSafe(database) & (F.col("table") == table)).withColumn("fields", _fields())
         of = lambda name: F.coalesce(F.get("fields", F.array_position("columns", name).cast("int") - 1), F.lit("NULL"))
         ordered = F.when(F.col("columns").isNull(), F.col("fields")).otherwise(F.array(*(of(n) for n in names)))
         width = F.when(F.col("columns").isNull(), len(names)).otherwise(F.size("columns"))
@@ -149,11 +161,15 @@ class Whole:
 
     def _order(self) -> DataFrame:
         """Rows staged for each table, and whether a file drops it after rows of it."""
-        place = F.struct("start", "no")
-        per_file = self.staged("rows", "drop").groupBy("file", "database", "table").agg(
+        # By split first, with whole numbers only: places as structs would have every staged row sorted.
+        per_split = self.staged("rows", "drop").groupBy("file", "start", "database", "table").agg(
             F.count_if(F.col("kind") == "rows").alias("rows"),
-            F.coalesce(F.max(F.when(F.col("kind") == "drop", place)) > F.min(F.when(F.col("kind") == "rows", place)), F.lit(False)).alias("dropped"),
+            F.max(F.when(F.col("kind") == "drop", F.col("no"))).alias("drop"), F.min(F.when(F.col("kind") == "rows", F.col("no"))).alias("row"),
         )
+        place = lambda no: F.when(F.col(no).isNotNull(), F.struct("start", no))
+        per_file = per_split.groupBy("file", "database", "table").agg(
+            F.sum("rows").alias("rows"), F.coalesce(F.max(place("drop")) > F.min(place("row")), F.lit(False)).alias("dropped")
+        )
         return per_file.groupBy("database", "table").agg(F.sum("rows").alias("rows"), F.max("dropped").alias("dropped"))
 
     def problems(self) -> DataFrame:

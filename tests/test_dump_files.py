@@ -3,12 +3,13 @@
 import glob
 import gzip
 import os
+import re
 
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from tablehaul.operators.restore_whole import restore_whole
+from tablehaul.operators.restore_whole import FIELDS, restore_whole, stage_whole
 from tablehaul.queries import whole
 from tablehaul.queries.views import TABLES
 from tablehaul.session import holding, shared_dir
@@ -95,6 +96,34 @@ def test_staged_rows_are_packed_tightly(spark, work):
     assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
 
 
+def test_tokens_beyond_the_staged_columns(spark, work):
+    n = len(FIELDS) + 6
+    names = [f"`c{i}`" for i in range(n)]
+    os.mkdir(f"{work}/dump")
+    with open(f"{work}/dump/a.sql", "w") as f:
+        f.write(f"CREATE TABLE `w` ({', '.join(f'{c} INT' for c in names)});\nCREATE TABLE `e` ({', '.join(f'{c} INT' for c in names[:len(FIELDS)])});\n")
+        f.write(f"INSERT INTO `w` VALUES ({','.join(map(str, range(n)))}),({','.join(['NULL'] * n)});\n")
+        f.write(f"INSERT INTO `w` ({', '.join(reversed(names))}) VALUES ({','.join(map(str, range(n)))});\nINSERT INTO `w` (`c{n - 1}`) VALUES (7);\n")
+        f.write(f"INSERT INTO `e` VALUES ({','.join(map(str, range(len(FIELDS))))});\n")
+        f.write(f"CREATE TABLE `short` (`a` INT, `b` INT);\nINSERT INTO `short` VALUES (1),(2);\n")
+    whole_dump = restore_whole(spark, f"{work}/dump")
+    rows = [tuple(r) for r in whole_dump.read(None, "w").collect()]
+    assert rows == [tuple(range(n)), (None,) * n, tuple(reversed(range(n))), (*[None] * (n - 1), 7)]
+    assert [tuple(r) for r in whole_dump.read(None, "e").collect()] == [tuple(range(len(FIELDS)))]
+    with pytest.raises(Exception, match="dump not understood.*number of fields.*: 1"):
+        whole_dump.read(None, "short").collect()
+
+
+def test_rows_are_counted_without_sorting_them(spark, work):
+    os.mkdir(f"{work}/dump")
+    with open(f"{work}/dump/a.sql", "w") as f:
+        f.write("CREATE TABLE `t` (`id` INT);\nDROP TABLE `t`;\nINSERT INTO `t` VALUES (1),(2);\nCREATE TABLE `u` (`id` INT);\nINSERT INTO `u` VALUES (1);\nDROP TABLE `u`;\n")
+    staged = stage_whole(spark, f"{work}/dump")
+    plan = staged._order()._jdf.queryExecution().sparkPlan().toString()
+    assert "FileScan" in plan and re.findall(r"(\w+)Aggregate\(keys?=\[file#\d+L?, start", plan) == ["Hash", "Hash"]
+    assert {(r.table, r.rows, r.dropped) for r in staged._order().collect()} == {("t", 2, False), ("u", 1, True)}
+
+
 def test_settings_hold_inside_only(spark):
     key, other = "spark.sql.maxConcurrentOutputFileWriters", "spark.sql.tablehaul.unknown"
     spark.conf.set(key, "3")
