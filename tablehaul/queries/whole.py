@@ -103,6 +103,12 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
 
 
+def _each(spark: SparkSession, files: int, step: int, values: list[str]) -> DataFrame:
+    """A line of every section for each of the first ``files``."""
+    lines = F.array(*(F.struct(F.lit(i).alias("section"), F.lit(v).alias("value")) for i, v in enumerate(values)))
+    return spark.range(0, files, 1, 1).select(F.col("id").cast("int").alias("file"), F.lit(step).alias("step"), F.inline(lines))
+
+
 def _mixed(spark: SparkSession, sf_dir: str) -> str:
     """A folder of files, each with a section of statements for every table, under ``USE``; every second one is compressed.
 
@@ -117,15 +123,13 @@ def _mixed(spark: SparkSession, sf_dir: str) -> str:
     path = fresh_dir(spark, "mixed")
     for place, (form, options) in enumerate((("plain", {}), ("packed", {"compression": "gzip"}))):
         files = _file_count(counted.get(place), FILES // 2)
-        written, parts = [], []
-        for i, ((database, name, _), df, half) in enumerate(zip(sections, tables, halves)):
+        written = []
+        for i, ((_, name, _), df, half) in enumerate(zip(sections, tables, halves)):
             tuples, run = packing(df.where(half == place), name, BUFFER_BYTES)
             written.append(tuples.mapInArrow(_packed(run), "packed binary, size int").withColumn("section", F.lit(i)))
-            heads = spark.range(0, files, 1, 1).select(F.lit(f"-- section {i}\nUSE `{database}`;").alias("value"), F.col("id").cast("int").alias("file"))
-            ddl = spark.range(0, 1 - place, 1, 1).select(F.lit(create_table(name, df.schema)).alias("value"), F.lit(0).alias("file"))
-            for step, piece in enumerate((heads, ddl)):
-                parts.append(piece.select("value", "file", F.lit(i).alias("section"), F.lit(step).alias("step")))
-        parts.append(_dealt(reduce(DataFrame.unionByName, written), files).withColumn("step", F.lit(2)))
+        heads = _each(spark, files, 0, [f"-- section {i}\nUSE `{database}`;" for i, (database, _, _) in enumerate(sections)])
+        ddl = _each(spark, 1 - place, 1, [create_table(name, df.schema) for (_, name, _), df in zip(sections, tables)])
+        parts = [heads, ddl, _dealt(reduce(DataFrame.unionByName, written), files).withColumn("step", F.lit(2))]
         pieces = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
         pieces = pieces.repartitionById(files, "file").sortWithinPartitions("section", "step")
         with holding(spark, NO_SHUFFLE_KEPT):
